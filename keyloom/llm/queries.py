@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from keyloom.llm import quality_rules
+from keyloom.llm import decontamination, quality_rules
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.SQL,
+        "op6_benchmark_decontamination": decontamination.SQL,
     }
