@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontamination, quality_rules
+from keyloom.llm import decontamination, quality_rules, secrets
 
 
 def queries() -> dict:
     return {
+        "op4_secret_scans": secrets.op4_secret_scans,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     }
