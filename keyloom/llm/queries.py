@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import decontamination, quality_rules, secrets
+from keyloom.llm import decontamination, quality_rules, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
