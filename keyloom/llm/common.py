@@ -6,6 +6,7 @@ every operator selects the columns it needs first, so extra or clashing columns
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +51,13 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def workers_find_package(spark: SparkSession) -> SparkSession:
+    """Python workers import this package from where the driver did, unless it was shipped to them (``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return spark

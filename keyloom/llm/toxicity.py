@@ -9,8 +9,8 @@
    length. It turns a segment's score into a p-value; the evidence of a text (its best segment and all significant ones) goes
    through a logistic curve fitted on documents that were not counted.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``TRAIN_DOCS`` documents of at most
-``TRAIN_CHARS`` characters each) and broadcast; its size is bounded by that sample. Every text is scored whole.
+The model is fitted on the driver from a bounded sample of labelled rows (``TRAIN_DOCS`` documents of
+each class, of at most ``TRAIN_CHARS`` characters) and broadcast; its size is bounded by that sample. Every text is scored whole.
 
 Defined results: a null or empty text has no token and gets the score of no evidence; without any label (or with one class
 only) every score is the share of toxic labels (0 without labels); null ids and repeated rows are scored like any other row;
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import kernel
-from keyloom.llm.common import table
+from keyloom.llm.common import table, workers_find_package
 from keyloom.llm.kernel import U64, HashArray
 
-TRAIN_DOCS, TRAIN_CHARS = 16_000, 200_000
+TRAIN_DOCS, TRAIN_CHARS = 3_000, 100_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, DRIFT, SIGNIFICANT = 12.0, 0.8, 0.01
 _APART = np.ones(256, bool)
@@ -40,18 +40,27 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
 _WHOLE = U64(0xA5A5A5A5A5A5A5A5)
 
 
-def _features(col: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature hashes of every token, from the shortest prefix to the whole token (0: no such prefix), and offsets."""
-    data, offsets = kernel.buffers(col)
-    data = kernel.lowered(data)
-    starts, ends, docs = kernel.spans(data, offsets, _APART)
-    levels = []
-    for p in PREFIXES:
-        long = ends - starts >= p
-        h = np.zeros(len(starts), U64)
-        h[long] = kernel.hashes(data, starts[long], starts[long] + p)
-        levels.append(h)
-    return [*levels, kernel.hashes(data, starts, ends) ^ _WHOLE], docs
+class _Tokens:
+    """The tokens of some texts; features are made one level at a time, from the shortest prefix to the whole token."""
+
+    levels = len(PREFIXES) + 1
+
+    def __init__(self, col: pa.Array):
+        data, offsets = kernel.buffers(col)
+        self.data = kernel.lowered(data)
+        self.starts, self.ends, self.docs = kernel.spans(self.data, offsets, _APART)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def level(self, i: int) -> np.ndarray:
+        """Feature hashes at this level; 0 where a token is too short for it."""
+        if i == len(PREFIXES):
+            return kernel.hashes(self.data, self.starts, self.ends) ^ _WHOLE
+        long = self.ends - self.starts >= PREFIXES[i]
+        h = np.zeros(len(self), U64)
+        h[long] = kernel.hashes(self.data, self.starts[long], self.starts[long] + PREFIXES[i])
+        return h
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -79,56 +88,66 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 class Model:
     """Sorted feature hashes with log-odds; Gumbel parameters; logistic weights."""
 
-    def __init__(self, texts: pa.Array, toxic: np.ndarray):
-        self.share = float(toxic.mean()) if len(toxic) else 0.0
-        self.keys, self.odds = HashArray(np.zeros(0, U64)), np.zeros(0)
+    def __init__(self, texts: pa.Array, toxic: np.ndarray, share: float | None = None):
+        """``share``: of toxic rows among all labelled ones, if the sample was drawn at other rates."""
+        self.share = share if share is not None else float(toxic.mean()) if len(toxic) else 0.0
+        self.keys, self.odds = HashArray(np.zeros(0, U64)), np.zeros(1)
         self.mode, self.scale, self.weights = 0.0, 1.0, None
         if 0 < toxic.sum() < len(toxic):
             self._fit(texts, toxic.astype(bool))
 
     def _fit(self, texts: pa.Array, toxic: np.ndarray) -> None:
-        levels, docs = _features(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(docs))
         held = np.arange(len(texts)) % 4 == 0  # for the calibration
-        weight = np.where(toxic, len(toxic) / 2 / toxic.sum(), len(toxic) / 2 / (~toxic).sum())
-        keys, odds = [], []
-        parent_keys, parent_share = HashArray(np.zeros(0, U64)), np.zeros(0)
-        shares: dict[int, np.ndarray] = {}
-        prior_of = np.full(len(doc), 0.5)  # of each token: the share of its longest known shorter prefix
-        for level, h in enumerate(levels):
-            use = ~held[doc] & (h != 0)
-            order = np.lexsort((doc[use], h[use]))
-            hh, dd, pp = h[use][order], doc[use][order], prior_of[use][order]
-            once = np.concatenate([[True], (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])]) if len(hh) else np.zeros(0, bool)
-            hh, dd, pp = hh[once], dd[once], pp[once]
-            key, first = np.unique(hh, return_index=True)
-            bad = np.add.reduceat(weight[dd] * toxic[dd], first) if len(key) else np.zeros(0)
-            all_ = np.add.reduceat(weight[dd], first) if len(key) else np.zeros(0)
-            share = (bad + PRIOR * pp[first]) / (all_ + PRIOR)
-            known = np.abs(np.log(share / (1 - share)) - np.log(pp[first] / (1 - pp[first]))) > 0.02
-            table_ = HashArray(key[known])
-            at, hit = table_.find(h)
-            prior_of = np.where(hit & (h != 0), np.concatenate([share[known], [0.5]])[at], prior_of)
-            shares[level] = share
-            keys.append(key[known])
-            odds.append(np.log(share[known] / (1 - share[known])))
-        key, odd = np.concatenate(keys), np.concatenate(odds)
-        order = np.argsort(key)
-        self.keys, self.odds = HashArray(key[order]), np.concatenate([odd[order], [0.0]])
-        best, every, n = self._measured(levels, docs)
-        clean = held & ~toxic & (best > 0)
+        self._count(texts.filter(pa.array(~held)), toxic[~held])
+        texts, toxic = texts.filter(pa.array(held)), toxic[held]
+        best, every, n = self._measured(_Tokens(texts))
+        clean = ~toxic & (best > 0)
         x = best[clean]
         self.scale = max(0.2, float(np.std(x)) * np.sqrt(6) / np.pi) if len(x) > 1 else 1.0
         self.mode = float(np.mean(x - self.scale * np.log(np.maximum(n[clean], 1)))) - 0.5772 * self.scale if len(x) else 0.0
-        self.weights = _logistic(self._evidence(best, every, n)[held], toxic[held])
-
-    def _measured(self, levels: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, list[list[float]], np.ndarray]:
+        drawn = toxic.mean()
+        weight = np.where(toxic, self.share / max(drawn, 1e-9), (1 - self.share) / max(1 - drawn, 1e-9))
+        self.weights = _logistic(self._evidence(best, every, n), toxic, weight)
+
+    def _count(self, texts: pa.Array, toxic: np.ndarray) -> None:
+        """Shares of toxic documents by feature, both classes weighing the same; only those that differ from their prior stay."""
+        tokens = _Tokens(texts)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(tokens.docs))
+        weight = np.where(toxic, len(toxic) / 2 / max(1, toxic.sum()), len(toxic) / 2 / max(1, (~toxic).sum()))
+        keys, odds = [], []
+        prior_of = np.full(len(doc), 0.5, np.float32)  # of each token: the share of its longest known shorter prefix
+        for level in range(_Tokens.levels):
+            h = tokens.level(level)
+            use = np.flatnonzero(h != 0)
+            order = use[np.argsort(h[use], kind="stable")]  # stable, and tokens are in the order of documents
+            hh, dd = h[order], doc[order]
+            once = np.concatenate([[True], (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])])[: len(hh)]
+            order, hh, dd = order[once], hh[once], dd[once]
+            first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])[: len(hh)])
+            if not len(first):
+                continue
+            prior = prior_of[order[first]].astype(np.float64)
+            share = (np.add.reduceat(weight[dd] * toxic[dd], first) + PRIOR * prior) / (np.add.reduceat(weight[dd], first) + PRIOR)
+            odd = np.log(share / (1 - share))
+            known = np.abs(odd - np.log(prior / (1 - prior))) > 0.02
+            keys.append(hh[first][known])
+            odds.append(odd[known])
+            at, hit = HashArray(keys[-1]).find(h)
+            hit &= h != 0
+            prior_of[hit] = share[known][at[hit]]
+        if keys:
+            key, odd = np.concatenate(keys), np.concatenate(odds)
+            order = np.argsort(key)
+            self.keys, self.odds = HashArray(key[order]), np.concatenate([odd[order], [0.0]])
+
+    def _measured(self, tokens: _Tokens) -> tuple[np.ndarray, list[list[float]], np.ndarray]:
         """Best segment and all segments' scores of every document, and the number of tokens."""
-        score = np.zeros(len(levels[0]))
-        for h in levels:  # the longest known feature decides
+        score, docs = np.full(len(tokens), -DRIFT), tokens.docs
+        for level in range(_Tokens.levels):  # the longest known feature decides
+            h = tokens.level(level)
             at, hit = self.keys.find(h)
-            score = np.where(hit & (h != 0), self.odds[at], score)
-        score -= DRIFT
+            hit &= h != 0
+            score[hit] = self.odds[at[hit]] - DRIFT
         some = kernel.sums((score > 0).astype(np.int64), docs)
         every = [[s for s, _, _ in segments(score[docs[i] : docs[i + 1]])] if some[i] else [] for i in range(len(docs) - 1)]
         return np.array([max(x, default=0.0) for x in every]), every, np.diff(docs)
@@ -152,16 +171,16 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.share)
-        x = self._evidence(*self._measured(*_features(texts)))
+        x = self._evidence(*self._measured(_Tokens(texts)))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -169,18 +188,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
-    """A model from at most ``train_docs`` labelled documents, chosen by a hash of doc_id, whatever the table's size."""
+    """A model from about ``train_docs`` labelled documents of each class at most, chosen by a hash of doc_id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_docs / max(1, n)))).limit(2 * train_docs)
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    draw, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), F.lit(False)
+    for kind, count in sorted(n.items()):
+        chosen = chosen | ((F.col("toxic") == kind) & (draw < int((1 << 20) * min(1.0, train_docs / count))))
+    part = known.where(chosen).limit(4 * train_docs)
     text = docs.where(F.col("text").isNotNull() & (F.length("text") <= train_chars)).select("doc_id", "text")
-    rows = text.join(F.broadcast(part), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(train_docs).toArrow()
-    return Model(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("toxic").to_numpy().astype(np.int64))
+    rows = text.join(F.broadcast(part), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(2 * train_docs).toArrow()
+    share = n.get(1, 0) / max(1, sum(n.values()))
+    return Model(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("toxic").to_numpy().astype(np.int64), share)
 
 
 def score(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     """``keep`` and ``score`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = workers_find_package(docs.sparkSession).sparkContext.broadcast(model)
     kind = docs.schema[keep].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
