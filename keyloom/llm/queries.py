@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import byte_bpe, decontamination, html_extraction, language_id, language_model, quality_rules, secrets, toxicity
+from keyloom.llm import byte_bpe, decontamination, html_extraction, jaccard_join, language_id, language_model, quality_rules, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+        "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
