@@ -61,3 +61,8 @@ def workers_find_package(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
     return spark
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, which has a few narrow columns, marked for broadcast if it has at most ``rows`` rows; joined by shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ascii_lower, stored, table
+from keyloom.llm.common import ascii_lower, broadcast_if_small, stored, table
 
 #: Words of the contract: runs of 0-9, a-z (after lower-casing) and characters beyond ASCII.
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -150,7 +150,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     found = judged(scan(docs, bench, width), percent).select(F.col("doc_id").alias("_kl_id"), "_kl_t", "hits", "contaminated").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (F.xxhash64("text") == F.col("_kl_t"))
     if remove == "documents":
-        return docs.join(found.where("contaminated"), same, "left_anti").select(docs.columns)
+        gone = broadcast_if_small(stored(found.where("contaminated").select("_kl_id", "_kl_t"), "decontamination-gone"))
+        return docs.join(gone, same, "left_anti").select(docs.columns)
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     cut = F.when(F.size("hits") > 0, _without(F.col("text"), F.col("hits"))).otherwise(F.col("text"))

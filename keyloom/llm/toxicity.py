@@ -213,6 +213,17 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind.simpleString()}, score double")
 
 
+def filtered(docs: DataFrame, model: Model, toxic: float) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``toxic``."""
+    shared = workers_find_package(docs.sparkSession).sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in kernel.slices(batches):
+            yield b.filter(pa.array(shared.value.scores(b.column("text")) < toxic))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
