@@ -18,7 +18,8 @@ MEMORY_OVERHEAD, OUTPUT_OVERHEAD = 12, 16
 def byte_values(b: Column) -> Column:
     """The bytes of a binary column as an array of BIGINT."""
     one = lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("bigint")
-    return F.when(F.octet_length(b) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(b)), one)).otherwise(F.array().cast("array<bigint>"))
+    some = F.transform(F.sequence(F.lit(1), F.octet_length(b)), one)
+    return F.when(F.octet_length(b) == 0, F.array().cast("array<bigint>")).when(F.octet_length(b) > 0, some)
 
 
 def fnv1a32(key: Column) -> Column:
