@@ -147,15 +147,15 @@ def _without(text: Column, hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", percent: int = 5, width: int = WIDTH) -> DataFrame:
     """``docs`` without its contaminated documents, or (``remove="spans"``) with the hit words cut out of every text."""
-    found = judged(scan(docs, bench, width), percent).select(F.col("doc_id").alias("_kl_id"), "_kl_t", "hits", "contaminated").distinct()
+    found = judged(scan(docs, bench, width), percent).select(F.col("doc_id").alias("_kl_id"), "_kl_t", F.col("hits").alias("_kl_hits"), F.col("contaminated").alias("_kl_bad")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_kl_id")) & (F.xxhash64("text") == F.col("_kl_t"))
     if remove == "documents":
-        gone = broadcast_if_small(stored(found.where("contaminated").select("_kl_id", "_kl_t"), "decontamination-gone"))
+        gone = broadcast_if_small(stored(found.where("_kl_bad").select("_kl_id", "_kl_t"), "decontamination-gone"))
         return docs.join(gone, same, "left_anti").select(docs.columns)
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    cut = F.when(F.size("hits") > 0, _without(F.col("text"), F.col("hits"))).otherwise(F.col("text"))
-    return docs.join(found.where(F.size("hits") > 0), same, "left").withColumn("text", cut).select(docs.columns)
+    cut = F.when(F.size("_kl_hits") > 0, _without(F.col("text"), F.col("_kl_hits"))).otherwise(F.col("text"))
+    return docs.join(found.where(F.size("_kl_hits") > 0), same, "left").withColumn("text", cut).select(docs.columns)
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
