@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keyloom.llm import byte_bpe, decontamination, html_extraction, jaccard_join, language_id, language_model, quality_rules, secrets, toxicity
+from keyloom.llm import byte_bpe, decontamination, html_extraction, jaccard_join, language_id, language_model, quality_classifier, quality_rules, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_language_model": language_model.op2_language_model,
+        "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_secret_scans": secrets.op4_secret_scans,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,

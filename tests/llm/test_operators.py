@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from keyloom.llm import byte_bpe, decontamination, html_extraction, jaccard_join, kernel, language_id, language_model, quality_rules, secrets, toxicity
+from keyloom.llm import byte_bpe, decontamination, html_extraction, jaccard_join, kernel, language_id, language_model, quality_classifier, quality_rules, secrets, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_words bigint, score double, hits string"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -376,3 +376,27 @@ def test_held_out_rows(spark):
     docs = frame(spark, *[(i, "x", None) for i in range(40)], (None, "x", None))
     got = {r["doc_id"]: (r["a"], r["b"]) for r in docs.select("doc_id", language_id.held_out().alias("a"), language_model.held_out().alias("b")).collect()}
     assert got == {i: (zlib.crc32(str(i).encode()) % 4 == 2, zlib.crc32(str(i).encode()) % 10 == 0) for i in range(40)} | {None: (False, False)}
+
+
+def test_weak_labels_recover_accuracies():
+    rng = np.random.default_rng(3)
+    good = rng.random(20_000) < 0.7
+    true = np.array([[0.95, 0.9, 0.85, 0.9, 0.8], [0.1, 0.2, 0.3, 0.05, 0.4]])  # votes good on good, on bad
+    cast = np.where(rng.random((20_000, 5)) < np.where(good[:, None], true[0], true[1]), 1, 0).astype(np.int8)
+    cast[rng.random((20_000, 5)) < 0.2] = -1
+    patterns, at, counts = np.unique(cast, axis=0, return_inverse=True, return_counts=True)
+    p, share, rate = quality_classifier.weak_labels(patterns, counts.astype(float))
+    assert abs(share - 0.7) < 0.03 and np.abs(rate - true).max() < 0.05
+    assert ((p[at.reshape(-1)] > 0.5) == good).mean() > 0.93
+
+
+def test_quality_classifier(spark):
+    junk = lambda i: " ".join(f"{w}{'###' if i % 2 else '&&&'}" for w in prose(i, 90).split()) if i % 3 else "For " * 120
+    rows = [(i, junk(i) if i % 5 == 0 else prose(i, 120) + ".\n" + prose(i + 7000, 60) + ".", None) for i in range(400)]
+    docs = frame(spark, *rows, *[(1000 + (i or 0), t, None) for i, t, _ in odd(spark)])
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, *quality_classifier.train(docs)).collect()}
+    wrong = [i for i, _, _ in rows if got[i]["kept"] == (i % 5 == 0)]
+    assert len(wrong) <= 4 and all(0 <= r["score"] <= 1 and 0 <= r["weak_label"] <= 1 for r in got.values())
+    untaught = quality_classifier.train(docs.limit(0))
+    assert {r["score"] for r in quality_classifier.classify(docs, *untaught).collect()} == {0.5}
+    assert quality_classifier.classify(docs.limit(0), *untaught).count() == 0
