@@ -116,13 +116,12 @@ def votes(measures: np.ndarray) -> np.ndarray:
 def weak_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of good for each vote pattern, the share of good documents, and accuracies (votes good on good, on bad)."""
     cast, good = patterns >= 0, patterns == 1
-    p = np.clip((good.sum(axis=1) + 1) / (cast.sum(axis=1) + 2), 0.05, 0.95)  # majority vote
-    p = np.where((patterns == 0).any(axis=1), np.minimum(p, 0.5), p)
+    p = np.where((patterns == 0).any(axis=1), 0.1, 0.95)  # a labeller looks for one fault: its vote of bad counts first
     for _ in range(rounds):
         w = np.stack([p * counts, (1 - p) * counts])
         share = (w[0].sum() + 5) / (counts.sum() + 10)
-        # Beta priors worth 20 documents: a labeller votes good on nine of ten good documents, and on four of ten bad ones
-        rate = np.stack([(w[k] @ good + prior) / (w[k] @ cast + 20) for k, prior in enumerate((18.0, 8.0))])
+        # Beta priors worth 50 documents: a labeller votes bad on one of fifty good documents, and on one of four bad ones
+        rate = np.stack([(w[k] @ good + prior) / (w[k] @ cast + 50) for k, prior in enumerate((49.0, 37.5))])
         log = [np.where(cast, np.where(good, np.log(r), np.log(1 - r)), 0).sum(axis=1) for r in rate]
         new = 1 / (1 + np.exp(np.clip(log[1] + np.log(1 - share) - log[0] - np.log(share), -50, 50)))
         if np.abs(new - p).max(initial=0) < 1e-7:
