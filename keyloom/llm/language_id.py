@@ -33,7 +33,7 @@ from keyloom.llm.common import table, workers_find_package
 from keyloom.llm.kernel import U64, HashArray
 
 ORDER, BITS = 5, 12  # symbols of 12 bits: five of them make a key of 60 bits
-DOCS, CHARS, SYMBOLS = 1500, 50_000, (1 << BITS) - 2
+DOCS, CHARS, SYMBOLS = 1000, 20_000, (1 << BITS) - 2
 _SPREAD = U64(0x9E3779B97F4A7C15)  # odd: multiplying by it is a bijection, so hashed n-grams never collide
 _MASK = [U64((1 << (BITS * n)) - 1) for n in range(ORDER + 1)]
 
@@ -89,34 +89,49 @@ def _keys(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return key
 
 
+def _chunks(rows: np.ndarray, size: int = 200) -> Iterator[np.ndarray]:
+    for at in range(0, len(rows), size):
+        yield rows[at : at + size]
+
+
 class Model:
     def __init__(self, texts: pa.Array, langs: list[str]):
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        low, offsets, has = _folded(texts)
         lang = np.array([self.langs.index(x) for x in langs])
-        held = np.arange(len(langs)) % 5 == 0  # for the calibration
-        if not (has & ~held).any():
-            held[:] = False
-        points, counts = np.unique(low[np.repeat(~held, np.diff(offsets))], return_counts=True)
-        common = points[np.argsort(-counts, kind="stable")][:SYMBOLS]
+        held = np.arange(len(langs)) % 5 == 0 if len(langs) >= 50 else np.zeros(len(langs), bool)  # for the calibration
+        counts = np.zeros(sys.maxunicode + 1, np.int64)
+        for part in _chunks(np.flatnonzero(~held)):
+            low, _, _ = _folded(texts.take(pa.array(part)))
+            points, n = np.unique(low, return_counts=True)
+            counts[points] += n
+        counts[0] = 0
+        common = np.argsort(-counts, kind="stable")[:SYMBOLS]
+        common = common[counts[common] > 0]
         self.code = np.full(sys.maxunicode + 1, SYMBOLS + 1, np.uint16)  # the last symbol: letters never seen
         self.code[common] = np.arange(1, len(common) + 1, dtype=np.uint16)
         self.code[0] = 0
-        keys = _keys(self.code[low].astype(U64), offsets)
-        doc = np.repeat(np.arange(len(langs)), np.diff(offsets))
         seen = []
         for k in range(len(self.langs)):
-            seen.append(np.unique(keys[(lang[doc] == k) & ~held[doc]], return_counts=True))
+            keys, n = np.zeros(0, U64), np.zeros(0, np.int64)
+            for part in _chunks(np.flatnonzero((lang == k) & ~held)):
+                low, offsets, _ = _folded(texts.take(pa.array(part)))
+                more, m = np.unique(_keys(self.code[low].astype(U64), offsets), return_counts=True)
+                keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, m]), len(keys)).astype(np.int64)
+            seen.append((keys, n))
         self._build(seen, len(common) + 2)
         self.weights, self.foreign = np.array([0.0, 8.0]), np.inf
-        use = np.flatnonzero(held & has)
-        if len(use) > 20:
-            entropy = self.entropies(texts.take(pa.array(use)))
-            best = entropy.argmin(axis=1)
-            right = best == lang[use]
-            x = self._margins(entropy, np.diff(offsets)[use])
+        if held.any():
+            entropy, n, has = [], [], []
+            for part in _chunks(np.flatnonzero(held)):
+                e, m, h = self._measured(texts.take(pa.array(part)))
+                entropy.append(e), n.append(m), has.append(h)
+            entropy, n, has = (np.concatenate(v) for v in (entropy, n, has))
+            entropy, n, true = entropy[has], n[has], lang[held][has]
+            right = entropy.argmin(axis=1) == true
+            x = self._margins(entropy, n)
             self.weights = _curve(x, right.astype(float))
             self.foreign = float(np.quantile(entropy.min(axis=1)[right], 0.999)) * 1.25 if right.any() else np.inf
 
@@ -155,9 +170,9 @@ class Model:
             lower_keys, lower = union, p
         self.floor = float(np.log2(1.0 / vocabulary))
 
-    def entropies(self, texts: pa.Array) -> np.ndarray:
-        """Bits per character of every text under every language."""
-        low, offsets, _ = _folded(texts)
+    def _measured(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits per character of every text under every language, its length, and whether it has a letter."""
+        low, offsets, has = _folded(texts)
         keys = _keys(self.code[low].astype(U64), offsets)
         bits = np.zeros((len(keys), len(self.langs)), np.float32)
         left = np.arange(len(keys))
@@ -173,7 +188,8 @@ class Model:
             at, hit = arr.find((key >> U64(BITS)) * _SPREAD)
             bits[left[hit]] += values[at[hit]]
         bits[left] += self.floor
-        return -kernel.sums(bits, offsets) / np.maximum(1, np.diff(offsets))[:, None]
+        n = np.diff(offsets)
+        return -kernel.sums(bits, offsets) / np.maximum(1, n)[:, None], n, has
 
     def _margins(self, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
         two = np.sort(entropy, axis=1)[:, :2]
@@ -184,10 +200,9 @@ class Model:
         """Language, confidence, and whether the calibrated rejection would turn the text down."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        _, offsets, has = _folded(texts)
-        entropy = self.entropies(texts)
+        entropy, n, has = self._measured(texts)
         best = entropy.argmin(axis=1)
-        sure = 1 / (1 + np.exp(-np.clip(self._margins(entropy, np.diff(offsets)) @ self.weights, -30, 30)))
+        sure = 1 / (1 + np.exp(-np.clip(self._margins(entropy, n) @ self.weights, -30, 30)))
         rejected = ~has | (sure < 0.5) | (entropy.min(axis=1) > self.foreign)
         return [self.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, sure, 0.0), rejected
 
