@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.SQL,
         "op6_benchmark_decontamination": decontamination.SQL,
+        "op7_ngram_jaccard_join": jaccard_join.SQL,
     }
