@@ -201,6 +201,22 @@ def bloom_bits(spark, sf_dir):
     return probes.distinct()
 
 
+BITS = f"""sized AS (SELECT ((greatest(64, 10 * count(*)) + 7) // 8 * 8)::BIGINT AS m FROM winners WHERE type = 1),
+probe AS (SELECT key, type, ((h + i * ((h >> 17) | ((h << 15) & 4294967295))) & 4294967295) % m AS bit
+    FROM (SELECT key, 1 AS type, {FNV} AS h FROM winners WHERE type = 1 UNION ALL SELECT key, 0, {FNV} FROM (SELECT DISTINCT printf('user-%08d', c_custkey) AS key FROM customer)), sized, (SELECT unnest(range(0, 7)) AS i))"""
+
+
+@query("SELECT key FROM probe WHERE type = 0 GROUP BY key HAVING bool_and(bit IN (SELECT bit FROM probe WHERE type = 1))", LOG, BITS)
+def bloom_membership(spark, sf_dir):
+    """Customers' keys that a filter over the live keys lets through."""
+    live = resolve.live(_log(spark, sf_dir)).select("key")
+    size = live.agg(scalar.bloom_size(F.count("*")).alias("m"))
+    probes = scalar.bloom_probes(scalar.fnv1a32(F.col("key")), F.col("m"))
+    bits = live.join(F.broadcast(size)).select(F.explode(probes).alias("bit")).distinct()
+    wanted = _customers(spark, sf_dir).distinct().join(F.broadcast(size))
+    return metadata.may_contain(wanted, bits, probes)
+
+
 @query("SELECT key, (strlen(key) + strlen(value) + 12)::INTEGER AS memory_bytes, (strlen(key) + strlen(value) + 16)::INTEGER AS output_bytes FROM winners", LOG)
 def entry_cost(spark, sf_dir):
     e = changes.memtable(_log(spark, sf_dir))
@@ -342,6 +358,34 @@ def output_split(spark, sf_dir):
     return compaction.greedy_files(compaction.merge(_oldest_files(spark, sf_dir), drop_deletes=True), SPLIT_BYTES)
 
 
+@query(
+    "SELECT key, block::BIGINT AS block FROM puts JOIN filled USING (i)",
+    LOG,
+    SPLIT,
+    "filled(i, held, block) AS (SELECT i, cost, 0 FROM puts WHERE i = 1 UNION ALL SELECT p.i, CASE WHEN f.held >= 400 THEN p.cost ELSE f.held + p.cost END, CASE WHEN f.held >= 400 THEN f.block + 1 ELSE f.block END FROM filled f JOIN puts p ON p.i = f.i + 1)",
+)
+def block_cut(spark, sf_dir):
+    return compaction.blocks(compaction.merge(_oldest_files(spark, sf_dir), drop_deletes=True), SPLIT_BYTES)
+
+
+@query("SELECT file_number, smallest_key FROM tables WHERE level = 1 AND largest_key >= 'user-00000042' ORDER BY smallest_key LIMIT 1", LOG, SPLIT)
+def index_seek(spark, sf_dir):
+    return metadata.first_file_from(_tables(spark, sf_dir), 1, F.lit("user-00000042")).select("file_number", "smallest_key")
+
+
+@query(
+    "SELECT file_number, level, row_number() OVER (ORDER BY level DESC, CASE WHEN level > 0 THEN smallest_key END, file_number) AS precedence FROM (SELECT level, file_number, smallest_key FROM picked UNION ALL SELECT level, file_number, smallest_key FROM tables, rng WHERE level = 1 AND smallest_key <= high AND low <= largest_key)",
+    LOG,
+    SPLIT,
+    PICKED,
+)
+def compaction_inputs(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    own = compaction.oldest(t, 0, 4)
+    both = own.unionByName(compaction.overlapping(t, 1, compaction.key_range(own)))
+    return compaction.input_order(both, 0).select("file_number", "level", "precedence")
+
+
 EDITS = """edits AS (SELECT file_number AS edit_no, 'add' AS op, file_number FROM (SELECT DISTINCT file_number FROM l0)
     UNION ALL SELECT 1000000 + file_number, 'delete', file_number FROM (SELECT DISTINCT file_number FROM l0 WHERE file_number <= 4)
     UNION ALL SELECT 2000000 + file_number, 'add', file_number FROM (SELECT DISTINCT file_number FROM l1))"""

@@ -84,6 +84,36 @@ def greedy_files(entries: DataFrame, most_bytes: int, first: int = 0, cost: Colu
     return sized.repartition(1).sortWithinPartitions("key").mapInArrow(run, f"key {kind}, file bigint")
 
 
+def blocks(entries: DataFrame, target_bytes: int, cost: Column | None = None) -> DataFrame:
+    """(key, file): a block is closed by the entry that brings it to ``target_bytes``; the next entry opens another.
+
+    The same ordered fold as :func:`greedy_files`, but over the entries of one file.
+    """
+    sized = entries.select("key", (cost if cost is not None else output_cost(F.col("key"), F.col("value"))).cast("bigint").alias("cost"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = 0, 0
+        for b in batches:
+            out = []
+            for c in b.column("cost").to_pylist():
+                if held >= target_bytes:
+                    held, number = 0, number + 1
+                held += c
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.int64())], ["key", "block"])
+
+    kind = entries.schema["key"].dataType.simpleString()
+    return sized.repartition(1).sortWithinPartitions("key").mapInArrow(run, f"key {kind}, block bigint")
+
+
+def input_order(tables: DataFrame, source_level: int) -> DataFrame:
+    """The inputs of a compaction by rising precedence: the destination's files by key, then the source's from old to new."""
+    from pyspark.sql import Window
+
+    by = [F.desc("level"), F.when(F.col("level") > source_level, F.col("smallest_key")), "file_number"]
+    return tables.withColumn("precedence", F.row_number().over(Window.orderBy(*by)).cast("bigint"))  # a compaction's inputs: a few rows
+
+
 def job_totals(jobs: DataFrame) -> DataFrame:
     """Totals of all compaction jobs."""
     return jobs.agg(F.count("*").alias("jobs"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("input_files", "output_files", "bytes_read", "bytes_written")])

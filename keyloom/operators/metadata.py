@@ -47,6 +47,11 @@ def files_for_key(tables: DataFrame, key: Column) -> DataFrame:
     return tables.where((F.col("smallest_key") <= key) & (key <= F.col("largest_key")))
 
 
+def first_file_from(tables: DataFrame, level: int, key: Column) -> DataFrame:
+    """The first file of a sorted level that can hold the key or one after it: the index seek."""
+    return tables.where((F.col("level") == level) & (F.col("largest_key") >= key)).orderBy("smallest_key").limit(1)
+
+
 def in_read_order(tables: DataFrame) -> DataFrame:
     """Level 0 newest first, then each sorted level by key."""
     return tables.orderBy("level", F.when(F.col("level") == 0, -F.col("file_number")), "smallest_key")
@@ -74,6 +79,12 @@ def metadata_mismatches(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.join(f, "file_number", "full_outer").where(~same).select("file_number")
 
 
+def may_contain(keys: DataFrame, bits: DataFrame, probes: Column) -> DataFrame:
+    """The keys whose every probe is among the set ``bits`` (one column): a superset of the keys the filter was built from."""
+    each = keys.select("key", F.explode(probes).alias("bit")).distinct()
+    return each.join(bits, "bit", "left_semi").groupBy("key").agg(F.count("*").alias("hit")).join(each.groupBy("key").agg(F.count("*").alias("all")), "key").where("hit = all").select("key")
+
+
 def folded(edits: DataFrame) -> DataFrame:
     """The active file numbers: the last edit of each wins, and an ``add`` keeps it."""
     last = F.row_number().over(Window.partitionBy("file_number").orderBy(F.desc("edit_no")))

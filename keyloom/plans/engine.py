@@ -136,6 +136,24 @@ class Engine:
     def memtable_usage(self) -> int:
         return self.log().transform(resolve.winners).agg(F.sum(memory_cost(F.col("key"), F.col("value"))).alias("n")).first()["n"] or 0
 
+    def entries(self, file_number: int, only_live: bool = False) -> DataFrame:
+        """One segment in key order, tombstones included unless ``only_live``."""
+        v = self.version()
+        chosen = tuple(s for s in v.segments if s.file_number == file_number)
+        if not chosen:
+            raise InvalidArgument(f"no current file {file_number}")
+        rows = self._entries(v, chosen).orderBy("key")
+        return rows.where(F.col("type") == PUT) if only_live else rows
+
+    def stored_files(self) -> DataFrame:
+        """(file_number, files, bytes): what the segments take on disk, from Spark's file metadata."""
+        v = self.version()
+        if not v.segments:
+            return self.spark.createDataFrame([], "file_number bigint, files bigint, bytes bigint")
+        rows = self.spark.read.schema("file_number bigint").parquet(*[s.path for s in v.segments])
+        each = rows.select("file_number", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+        return each.groupBy("file_number").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
     # --- reading; ``at`` is a version number, for a snapshot ---
 
     def scan(self, options: ReadOptions = ReadOptions(), at: int | None = None) -> DataFrame:

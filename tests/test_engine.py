@@ -65,6 +65,18 @@ def test_compaction_hides_drops_and_keeps(spark, root):
     Engine.open(spark, root).verify()
 
 
+def test_segments(spark, root):
+    e = Engine.open(spark, root)
+    write(e, ("b", "1"), ("a", None))
+    e.flush(one_file=True)
+    assert [bytes(r["key"]) for r in e.entries(1).collect()] == [b"a", b"b"]
+    assert [bytes(r["key"]) for r in e.entries(1, only_live=True).collect()] == [b"b"]
+    (r,) = e.stored_files().collect()
+    assert (r["file_number"], r["files"]) == (1, 1) and r["bytes"] > 0
+    with pytest.raises(InvalidArgument):
+        e.entries(9)
+
+
 def test_cascade(spark, root):
     e = Engine.open(spark, root, TINY)
     for k in ("alpha", "bravo", "charlie"):
