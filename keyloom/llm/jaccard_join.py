@@ -209,7 +209,7 @@ def _files(df: DataFrame, parts: int, label: str, columns: tuple[str, ...] = ())
 
     blobs = "part int, keys binary" + "".join(f", v{i} binary" for i in range(len(columns)))
     sent = df.select("doc_id", *columns).mapInArrow(out, blobs)
-    sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
+    sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
     return files
 
 
@@ -259,7 +259,7 @@ def _counted(docs: DataFrame, reps: _Files, frequent: _Files | None, parts: int,
             yield pa.RecordBatch.from_pydict({"n": [len(first)]})
 
     sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary")
-    sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
+    sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
     return files
 
 
@@ -300,7 +300,7 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], ["a", "b", "tested"])
 
     sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary, v1 binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(into, "a bigint, b bigint, tested boolean").where("a <> b")
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "a bigint, b bigint, tested boolean").where("a <> b")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -254,7 +254,7 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
     stats = "part bigint, n bigint, tokens bigint, kinds array<bigint>"
 
     def reduced(sent: DataFrame, merge) -> list:
-        return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, stats).collect()
+        return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(merge, stats).collect()
 
     done = reduced(text.mapInArrow(pairs_out, "part int, keys binary, v0 binary"), pairs_in)
     model.pairs, model.tokens = sum(r["n"] for r in done), sum(r["tokens"] for r in done)
