@@ -4,8 +4,10 @@ One pass of the standard library's event parser turns a page into lines, one for
 seen in it and the containers around it. Script, style, forms, navigation, headers, footers, sidebars, and elements whose class,
 id or role names an advert, notice, menu or comment list yield no lines. Each remaining line has a ratio of characters to tags;
 the ratios are smoothed with a Gaussian kernel, and lines above a threshold (the deviation of the smoothed ratios, capped by their
-mean) are content. Their text votes for the smallest container that holds nearly all of it: that is the article, and all its lines
-are kept, however short. Where only the page's body holds them, the lines from the first to the last content line are kept.
+mean) are content. Their text votes for the smallest container that holds nearly all of it; lists, tables and data cells do not
+stand for election, as they are parts of an article. The article is the outermost ``article`` (or else ``main``) around the
+winner, or else the outermost container below the body that adds only content lines, paragraphs and headings. All its lines are
+kept, however short. Where only the page's body holds them, the lines from the first to the last content line are kept.
 
 Defined results: a null or empty page, or one without content, gives an empty text; tags never closed end with their container
 or the page; pages are parsed whole; repeated rows are parsed one by one; null ids and urls are kept; extra columns are ignored.
@@ -35,24 +37,29 @@ MARKED = frozenset(
     "social footer header masthead comment comments reply replies respond disqus login signup search searchbox toolbar pagination pager skip copyright complementary contentinfo".split()
 )
 PAGE = ("html", "body")
+#: Containers that are parts of an article. A cell that holds a heading lays out the page and may hold the article.
+PARTS = frozenset("td th table tbody thead tfoot tr ul ol dl".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre figcaption".split())
 _WORD = re.compile(r"[A-Za-z]+")
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, containers) of every block that is not silent."""
+    """Collects (text, tags, containers, name of the block) of every block that is not silent."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], str]] = []
         self.stack: list[tuple[str, int, bool]] = []  # name, number, silent
         self.names: list[str] = []  # by number
         self.parts: list[str] = []
+        self.block = ""
         self.tags = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack)))
+            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.stack), self.block))
         self.parts, self.tags = [], 0
 
     def _silent(self) -> bool:
@@ -69,6 +76,7 @@ class _Lines(HTMLParser):
         marked = tag not in ("html", "body", "main", "article") and any(w.lower() in MARKED for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v))
         if tag in BLOCKS:
             self.flush()
+            self.block = tag
             if self.stack and self.stack[-1][0] in ("p", tag if tag == "li" else "p"):  # a marked paragraph or item ends here
                 self.stack.pop()
         if tag in CONTAINERS or marked:
@@ -84,6 +92,7 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
+            self.block = ""
         self.tags += 1
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -103,6 +112,25 @@ def smoothed(ratio: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarr
     return pad(ratio) / pad(np.ones(len(ratio)))
 
 
+def _whole(article: int, lines: list[tuple], names: list[str], content: np.ndarray) -> int:
+    """The container of the whole article, of which the container ``article`` holds nearly all the text."""
+    around = next(a for _, _, a, _ in lines if article in a)
+    above = around[: around.index(article)]
+    for kind in ("article", "main"):
+        for c in (*above, article):
+            if names[c] == kind:
+                return c
+    for c in reversed(above):
+        if names[c] in PAGE:
+            break
+        if names[c] in PARTS:
+            continue
+        if not all(content[i] or block in PROSE for i, (_, _, a, block) in enumerate(lines) if c in a and article not in a):
+            break
+        article = c
+    return article
+
+
 def extract(html: str | None, share: float = 0.8) -> str:
     """The article's blocks, joined by an empty line."""
     if not html:
@@ -114,21 +142,24 @@ def extract(html: str | None, share: float = 0.8) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    chars = np.array([len(t) for t, _, _ in lines], float)
-    ratio = smoothed(chars / np.array([max(1, n) for _, n, _ in lines]))
+    chars = np.array([len(t) for t, _, _, _ in lines], float)
+    ratio = smoothed(chars / np.array([max(1, n) for _, n, _, _ in lines]))
     content = ratio >= min(ratio.std(), ratio.mean())
     weight = np.where(content, chars, 0.0)
     votes: dict[int, float] = {}
-    for (_, _, around), w in zip(lines, weight, strict=True):
+    for (_, _, around, _), w in zip(lines, weight, strict=True):
         for c in around:
             votes[c] = votes.get(c, 0.0) + w
     need = share * weight.sum()
-    article = max((c for c, v in votes.items() if v >= need and parser.names[c] not in PAGE), default=None)  # the innermost is numbered last
+    headed = {c for _, _, around, block in lines if block in HEADINGS for c in around if parser.names[c] == "td"}
+    able = (c for c, v in votes.items() if v >= need and parser.names[c] not in PAGE and (parser.names[c] not in PARTS or c in headed))
+    article = max(able, default=None)  # the innermost is numbered last
     if article is not None:
-        kept = [t for t, _, around in lines if article in around]
+        article = _whole(article, lines, parser.names, content)
+        kept = [t for t, _, around, _ in lines if article in around]
     else:
         at = np.flatnonzero(content)
-        kept = [t for t, _, _ in lines[at[0] : at[-1] + 1]]
+        kept = [t for t, _, _, _ in lines[at[0] : at[-1] + 1]]
     return "\n\n".join(kept)
 
 

@@ -300,6 +300,28 @@ def test_html_extraction(wrap):
     assert html_extraction.extract(html) == WANT if "</" in wrap else html_extraction.extract(html).startswith(WANT)
 
 
+LONG = "A sentence of the article that goes on for a while, with many more words than its heading has. " * 3
+INNER = {
+    "div": "<div class=body>" + f"<p>{LONG}</p>" * 6 + "</div>",
+    "section": "<section>" + f"<p>{LONG}</p>" * 6 + "</section>",
+    "list": "<ul>" + f"<li>{LONG}</li>" * 6 + "</ul>",
+    "table": "<table><tr><th>Name</th></tr>" + f"<tr><td>{LONG}</td></tr>" * 6 + "</table>",
+}
+
+
+@pytest.mark.parametrize("inner", INNER)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div id=wrap>{}</div>", "<div id=outer><article>{}</article><div>Unmarked box</div></div>"])
+def test_html_blocks_around_a_dominant_container(wrap, inner):
+    html = PAGE.replace("{main}", wrap.format(f"<h1>Heading</h1><p>A short lead.</p>{INNER[inner]}<p>A closing paragraph.</p>"))
+    middle = ["Name"] * (inner == "table") + [LONG.strip()] * 6
+    assert html_extraction.extract(html).split("\n\n") == ["Heading", "A short lead.", *middle, "A closing paragraph."]
+
+
+def test_html_layout_cells():
+    html = f"<body><table><tr><td><a href=x>Home</a><br><a href=y>News</a></td><td><h1>Heading</h1>{f'<p>{LONG}</p>' * 6}</td></tr></table>"
+    assert html_extraction.extract(html).split("\n\n") == ["Heading", *[LONG.strip()] * 6]
+
+
 def test_html_edges(spark):
     long = "<article>" + "".join(f"<p>{prose(i, 40)}</p>" for i in range(2000)) + "</article>"
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (3, "u", "<nav>x</nav>", 1), (4, "u", "plain &lt;text&gt;", 1), (4, "u", "plain &lt;text&gt;", 1), (5, "u", long, 1)], "page_id bigint, url string, html string, n_chars int")
