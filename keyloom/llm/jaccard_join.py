@@ -14,21 +14,22 @@ Distribution. An R-tree over all documents would be one task, so trees are built
    count vectors allow 80 %; more documents are tied to the first of them without a test. Nothing is dropped.
 4. Components of the candidate pairs are the blocks: no link leaves one. A block of up to ``BLOCK`` documents is one task's
    R-tree; a larger one is dealt into parts, and each pair of parts is a task.
-5. Trees emit a spanning forest of the verified links, never all pairs; components of these are the result.
+5. Every pair of different sets that passes the bound is verified. Tasks emit a spanning forest of the links and, for every set,
+   the number of documents it is linked with, never the pairs; components of the forest are the groups.
 
 Hash arrays that workers probe (ids of representatives, frequent and shared shingles, blocks) are files in the shared folder,
 mapped into memory; nothing of the size of the corpus is broadcast or brought to the driver.
 
 Shingles are compared by 64-bit hashes. Defined results: a text without words, empty or null has no shingles and is linked
 with nothing; one of fewer words than a shingle has one, the whole sequence; rows that share a doc_id are one node; a null
-doc_id is linked with nothing and its component_id is null; an empty table gives an empty table; extra columns are ignored.
+doc_id is linked with nothing, its component_id is null and its n_links 0; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +98,8 @@ class RTree:
         half = len(rows) // 2
         return (*top, None, self._node(order[:half]), self._node(order[half:]))
 
-    def search(self, point: np.ndarray, size: int, settled: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Rows whose bound reaches the threshold, among those that ``settled`` leaves open."""
+    def search(self, point: np.ndarray, size: int) -> np.ndarray:
+        """Rows whose bound reaches the threshold."""
         found, stack = [], [self.root]
         while stack:
             top, least, most, rows, left, right = stack.pop()
@@ -107,47 +108,77 @@ class RTree:
             if rows is None:
                 stack += [left, right]
                 continue
-            rows = rows[~settled(rows)]
-            if len(rows):
-                bound = np.minimum(point, self.points[rows]).sum(axis=1)
-                found.append(rows[bound >= need(size, self.sizes[rows])])
+            bound = np.minimum(point, self.points[rows]).sum(axis=1)
+            found.append(rows[bound >= need(size, self.sizes[rows])])
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def links(own: list[np.ndarray], first: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets; with ``first``, only of those between the first sets and the others."""
+class _Overlaps:
+    """The shingles of some sets, each with the sets that hold it."""
+
+    def __init__(self, own: list[np.ndarray]):
+        self.own, self.n = own, len(own)
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.keys, self.at = every[first], np.concatenate([first, [len(every)]])
+        self.holders = np.repeat(np.arange(self.n, dtype=np.int32), [len(s) for s in own])[order]
+
+    def count(self, s: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How many shingles of ``s`` each of the sets ``rows`` holds."""
+        place = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        place = place[self.keys[place] == s]
+        start, size = self.at[place], self.at[place + 1] - self.at[place]
+        if size.sum() > 40 * sum(len(self.own[j]) for j in rows.tolist()) + 1000:  # few rows to look at: merge with each
+            return np.array([np.isin(self.own[j], s, assume_unique=True).sum() for j in rows.tolist()], np.int64)
+        both, done = np.zeros(self.n, np.int64), 0
+        ends = np.cumsum(size)
+        while done < len(size):  # a bounded number of holders at once
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + GATHER, "right")))
+            n = size[done:to]
+            index = np.arange(int(n.sum())) + np.repeat(start[done:to] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both += np.bincount(self.holders[index], minlength=self.n)
+            done = to
+        return both[rows]
+
+
+def linked_pairs(own: list[np.ndarray], first: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Every link between sets once, as a set and the later sets it is linked with; with ``first``, only links between the first sets and the others."""
     n = len(own)
     sizes = np.array([len(s) for s in own], np.int64)
     groups = 1 << int(min(10, max(6, np.ceil(np.log2(max(1, np.median(sizes)) / 8)))))
-    points = np.stack([folded(np.bincount((s & U64(1023)).astype(np.int64), minlength=1024), groups) for s in own]).astype(np.int64)
-    root = np.arange(n)
-    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+    points = np.stack([folded(np.bincount((s & U64(1023)).astype(np.int64), minlength=1024), groups) for s in own]).astype(np.int32)
+    begin = first or 0
+    tree, overlaps = RTree(points[begin:], sizes[begin:]), _Overlaps(own[begin:])
+    for i in range(n if first is None else first):
+        rows = tree.search(points[i], int(sizes[i]))
+        rows = rows[rows + begin > i]
+        if len(rows):
+            both = overlaps.count(own[i], rows)
+            yes = rows[100 * both >= PERCENT * (sizes[i] + sizes[rows + begin] - both)]
+            if len(yes):
+                yield i, np.sort(yes) + begin
+
+
+def links(own: list[np.ndarray], first: int | None = None, copies: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of ``linked_pairs``; ``copies``, if given, is (documents of each set, documents linked with it), of which the second is filled."""
+    root = np.arange(len(own))
+    members: dict[int, list[int]] = {i: [i] for i in range(len(own))}
     forest: list[tuple[int, int]] = []
-
-    def linked(i: int, j: int) -> bool:
-        a, b = (own[i], own[j]) if sizes[i] <= sizes[j] else (own[j], own[i])
-        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        return 100 * both >= PERCENT * (len(a) + len(b) - both)
-
-    def tie(i: int, j: int) -> None:
-        forest.append((i, j))
-        a, b = int(root[i]), int(root[j])
-        if len(members[a]) < len(members[b]):
-            a, b = b, a
-        root[members[b]] = a
-        members[a] += members.pop(b)
-
-    right = np.arange(n) if first is None else np.arange(first, n)
-    queries = range(n) if first is None else range(first)
-    pivot = int(right[0])
-    for i in queries:  # copies of one original fall together first, and need no search between them
-        if root[i] != root[pivot] and need(sizes[i], sizes[pivot]) <= min(sizes[i], sizes[pivot]) and linked(i, pivot):
-            tie(i, pivot)
-    tree = RTree(points[right], sizes[right])
-    for i in queries:
-        for j in right[tree.search(points[i], int(sizes[i]), lambda rows, i=i: root[right[rows]] == root[i])]:
-            if root[i] != root[j] and linked(i, int(j)):
-                tie(i, int(j))
+    for i, found in linked_pairs(own, first):
+        if copies is not None:
+            copies[1, i] += copies[0, found].sum()
+            copies[1, found] += copies[0, i]
+        for j in found[root[found] != root[i]].tolist():
+            a, b = int(root[i]), int(root[j])
+            if a == b:
+                continue
+            forest.append((i, j))
+            if len(members[a]) < len(members[b]):
+                a, b = b, a
+            root[members[b]] = a
+            members[a] += members.pop(b)
     return forest
 
 
@@ -336,9 +367,9 @@ def components(edges: DataFrame, label: str = "components", most: int = 60) -> D
 
 
 def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
-    """(a, b): a spanning forest of the verified links inside every block."""
+    """(a, b, n): a spanning forest of the verified links inside every block, and with a null ``b`` numbers of documents that ``a`` is linked with."""
     sizes = blocks.groupBy("component").agg(F.count("*").alias("k")).withColumn("k", F.ceil(F.col("k") / BLOCK))
-    known = _files(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "k"), parts, "jaccard-blocks", ("component", "k"))
+    known = _files(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "k", "copies"), parts, "jaccard-blocks", ("component", "k", "copies"))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernel.slices(batches):
@@ -346,6 +377,7 @@ def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
             h = _id_hash(ids)
             there, component = known.find(h, "component")
             _, k = known.find(h, "k")
+            _, copies = known.find(h, "copies")
             chosen = np.flatnonzero(real & there)
             if not len(chosen):
                 continue
@@ -354,37 +386,40 @@ def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
                 own = int(h[i] % U64(k[i]))
                 for other in range(int(k[i])):  # a part meets every other part, and itself, in one task each
                     lo, hi = min(own, other), max(own, other)
-                    rows.append((int(component[i]), lo, hi, int(own != lo), int(ids[i]), s.tobytes()))
+                    rows.append((int(component[i]), lo, hi, int(own != lo), int(ids[i]), int(copies[i]), s.tobytes()))
             cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["component", "lo", "hi", "side", "doc_id", "shingles"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["component", "lo", "hi", "side", "doc_id", "copies", "shingles"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
             rows = list({r[:2]: r for r in rows}.values())
-            first = sum(side == 0 for side, _, _ in rows) if key[1] != key[2] else None
-            own = [np.frombuffer(x, U64) for _, _, x in rows]
-            pairs = links(own, first) if len(rows) > 1 and first != 0 and first != len(rows) else []
-            ids = [i for _, i, _ in rows]
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], ["a", "b"])
+            first = sum(r[0] == 0 for r in rows) if key[1] != key[2] else None
+            own = [np.frombuffer(r[3], U64) for r in rows]
+            copies = np.array([[r[2] for r in rows], [0] * len(rows)], np.int64)
+            pairs = links(own, first, copies) if len(rows) > 1 and first != 0 and first != len(rows) else []
+            ids = [r[1] for r in rows]
+            some = np.flatnonzero(copies[1]).tolist()
+            a, b = [ids[i] for i, _ in pairs] + [ids[i] for i in some], [ids[j] for _, j in pairs] + [None] * len(some)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, [None] * len(pairs) + copies[1, some].tolist())], ["a", "b", "n"])
 
         at, rows = None, []
         for b in batches:
-            for c, lo, hi, side, i, s in zip(*(b.column(x).to_pylist() for x in ("component", "lo", "hi", "side", "doc_id", "shingles")), strict=True):
+            for c, lo, hi, *row in zip(*(b.column(x).to_pylist() for x in ("component", "lo", "hi", "side", "doc_id", "copies", "shingles")), strict=True):
                 if (c, lo, hi) != at and rows:
                     yield done(at, rows)
                     rows = []
                 at = (c, lo, hi)
-                rows.append((side, i, s))
+                rows.append(tuple(row))
         if rows:
             yield done(at, rows)
 
-    sent = docs.select("doc_id", "text").mapInArrow(out, "component bigint, lo int, hi int, side int, doc_id bigint, shingles binary")
-    return sent.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side").mapInArrow(solve, "a bigint, b bigint")
+    sent = docs.select("doc_id", "text").mapInArrow(out, "component bigint, lo int, hi int, side int, doc_id bigint, copies bigint, shingles binary")
+    return sent.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side").mapInArrow(solve, "a bigint, b bigint, n bigint")
 
 
 def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id, and n_links, the number of other documents that the document is linked with, of every row."""
     spark = workers_find_package(docs.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -400,7 +435,7 @@ def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
             )
 
     measured = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint, v binary"), "jaccard-measured")
-    same = measured.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    same = measured.where("n > 0 AND doc_id IS NOT NULL").select("n", "s1", "s2", "doc_id").distinct().groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = stored(same, "jaccard-same")
     reps = _files(same.select(F.col("rep").alias("doc_id")).distinct(), parts, "jaccard-reps")
     frequent = _counted(docs, reps, None, parts, FREQUENT, "jaccard-frequent")
@@ -414,15 +449,22 @@ def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
     right = some.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
     passed = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_passing, "a bigint, b bigint")
     blocks = stored(components(passed.unionByName(pairs.where("NOT tested").select("a", "b")), "jaccard-blocks"), "jaccard-blocks")
-    forest = stored(_verified(docs, blocks, parts), "jaccard-forest")
-    groups = components(forest, "jaccard-groups").withColumnRenamed("node", "rep")
-    of = same.join(groups, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    copies = same.groupBy("rep").agg(F.max("copies").alias("copies")).withColumnRenamed("rep", "node")
+    found = stored(_verified(docs, blocks.join(copies, "node"), parts), "jaccard-links")
+    groups = components(found.where("b IS NOT NULL"), "jaccard-groups").withColumnRenamed("node", "rep")
+    linked = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
+    n_links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    of = same.join(groups, "rep", "left").join(linked, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), n_links)
     done = measured.drop("v").join(of, ["n", "s1", "s2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return done.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    real = F.col("doc_id").isNotNull()
+    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.when(real, F.col("n_links")), F.lit(0)).alias("n_links"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("n_links")  # the columns of SQL
+
+
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 

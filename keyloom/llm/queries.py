@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
         "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
+        "op7_ngram_jaccard_links": jaccard_join.op7_ngram_jaccard_links,
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,

@@ -256,6 +256,32 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert got == brute_groups(docs)
 
 
+def brute_links(docs):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)) for i, t in docs}
+    own = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    linked = lambda a, b: 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])
+    return {i: sum(i != j and linked(i, j) for j in own) if i in own else 0 for i in words}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_jaccard_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    docs = near_copies()
+    want = brute_links(docs)
+    rows = [(i, t, None) for i, t in docs] + [(200, dict(docs)[200], None), (None, dict(docs)[200], None)]  # a repeated row and a null id
+    got = [(r["doc_id"], r["n_links"]) for r in jaccard_join.jaccard_groups(frame(spark, *rows)).collect()]
+    assert sorted(got, key=str) == sorted([*want.items(), (200, want[200]), (None, 0)], key=str) and max(want.values()) > 20
+
+
+def test_linked_pairs_are_whole():
+    own = [np.unique(np.random.default_rng(s % 60).integers(0, 2**64, 300, dtype=np.uint64)[: 200 + s // 2]) for s in range(180)]
+    both = lambda a, b: len(np.intersect1d(own[a], own[b]))
+    want = {(a, b) for b in range(180) for a in range(b) if 100 * both(a, b) >= 80 * (len(own[a]) + len(own[b]) - both(a, b))}
+    for first in (None, 70):
+        got = [(i, j) for i, js in jaccard_join.linked_pairs(own, first) for j in js.tolist()]
+        assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if first is None or a < first <= b}
+
+
 def test_jaccard_edges(spark):
     rows = jaccard_join.jaccard_groups(frame(spark, *odd(spark))).collect()
     assert len(rows) == 9 and {(r["doc_id"], r["component_id"]) for r in rows} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None), (6, 6), (7, 7)}
