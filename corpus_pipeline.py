@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-1. toxicity: documents scored at ``TOXIC`` or more go; the model learns from the labelled rows of the stage's input.
+1. toxicity: documents that the operator calls toxic (scored at ``toxicity.TOXIC`` or more) go; the model learns from the labelled rows of the stage's input.
 2. n-gram Jaccard join: of each group of linked documents the one with the smallest doc_id stays.
 3. benchmark decontamination: documents of which 5 per cent or more of the words lie in benchmark windows go.
 4. secret scans: secrets are replaced by a mark; every document stays.
@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from keyloom.llm import byte_bpe, decontamination, jaccard_join, secrets, toxicity
 from keyloom.llm.common import broadcast_if_small, stored, table
 
-TOXIC = 0.5
-
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.filtered(docs, model, TOXIC)
+    return toxicity.filtered(docs, model, toxicity.TOXIC)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,8 @@ from keyloom.llm.kernel import U64, HashArray
 TRAIN_DOCS, TRAIN_CHARS = 3_000, 100_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR, DRIFT, SIGNIFICANT = 12.0, 0.8, 0.01
+#: A document of this score or more is toxic, in the query as in the pipeline.
+TOXIC = 0.3
 _APART = np.ones(256, bool)
 _APART[128:] = False
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -231,4 +233,4 @@ def held_out(doc_id: str = "doc_id"):
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(~held_out()))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

@@ -3,10 +3,13 @@
 import base64
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import tiktoken
 
 import corpus_pipeline
-from keyloom.llm import byte_bpe
+from keyloom.llm import byte_bpe, toxicity
 from tests.llm.test_operators import brute_groups, brute_windows, edited, prose
 
 SECRET = "token = \"0123456789abcdef0123456789abcdef\""
@@ -53,3 +56,13 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("score", [0.29, 0.3, 0.4, 0.5])
+def test_toxicity_stage_agrees_with_the_verdict(spark, tmp_path, monkeypatch, score):
+    tables(spark, str(tmp_path))
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Model(pa.array([], pa.string()), np.zeros(0), score))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(20)
+    verdicts = {r["predicted"] for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()}
+    assert verdicts == {int(score >= 0.3)}
+    assert corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).count() == (20 if verdicts == {0} else 0)
