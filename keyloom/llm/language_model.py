@@ -1,4 +1,4 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark over all training documents.
+"""Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark over all training documents.
 
 The model is two sets of sorted hash arrays in the shared folder, cut by ranges of the hash into ``parts`` files each, which
 workers map into memory, so neither driver nor workers hold the model:
@@ -9,6 +9,10 @@ workers map into memory, so neither driver nor workers hold the model:
   context. They come from a second pass that looks every pair up: each of a pair's ``c`` occurrences adds 1/c to a number of
   distinct pairs, so no pair has to carry its words through a shuffle, and hot words meet as sums of one row per map task.
 
+With order 3 a table of triples stands where the pairs stood, and the pairs become a middle table like that of the words: hash,
+count, number of distinct left neighbours, and the discounted mass of the pair as a context, from one more pass. The lower orders
+count distinct left neighbours; two start tokens stand before a text.
+
 Hash parts balance whatever the words are. Files are written under a temporary name and renamed, so a task may run again.
 Memory mapping needs the shared folder as a mounted path; another kind of store is refused with a message.
 
@@ -36,6 +40,8 @@ from keyloom.llm.common import shared_dir, table, workers_find_package
 from keyloom.llm.kernel import U64
 
 START, END = U64(0x5354415254), U64(0x454E44)
+#: The order of the model in production.
+ORDER = 3
 #: Tokens gathered before a map task sends its blobs, and bytes of text scored at once.
 GATHER, SCORE_BYTES = 3_000_000, 6_000_000
 
@@ -71,6 +77,18 @@ def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return kernel.mix(kernel.mix(before + U64(0x9E3779B97F4A7C15)) ^ word)
 
 
+def _second(before: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The word before the word before (or the start token)."""
+    out = np.empty(len(before), U64)
+    out[1:] = before[:-1]
+    out[docs[:-1]] = START
+    return out
+
+
+def _gram(word: np.ndarray, before: np.ndarray, docs: np.ndarray, order: int) -> np.ndarray:
+    return _pair(before if order == 2 else _pair(_second(before, docs), before), word)
+
+
 def _first(part: int | np.ndarray, parts: int):
     """The smallest hash of a part; parts are ranges of the leading 32 bits."""
     return (-(-(np.asarray(part, dtype=object) << 32) // parts)) << 32
@@ -128,6 +146,8 @@ class Model:
     pair_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
     word_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
     word_kinds: list[int] = field(default_factory=lambda: [0] * 4)
+    order: int = 2
+    triple_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
 
     def _lookup(self, kind: str, h: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """The columns beside each hash, 0 where it is unknown."""
@@ -151,14 +171,15 @@ class Model:
                     o[to[big]] = _mapped(f"{base}.big.npy")[np.searchsorted(place, at[hit][big])]
         return out
 
-    def counts(self, pairs: np.ndarray) -> np.ndarray:
-        return self._lookup("pairs", pairs, ("small",))[0]
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """Counts of n-grams of the highest order."""
+        return self._lookup("pairs" if self.order == 2 else "triples", grams, ("small",))[0]
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         word, before, docs = _sequences(texts)
         c, left = self._lookup("words", word, ("count", "left"))
         context, mass = self._lookup("words", before, ("context", "mass"))
-        pair = self.counts(_pair(before, word))
+        pair = self.counts(_pair(before, word)) if self.order == 2 else self._lookup("pairs", _pair(before, word), ("left",))[0]
         d2, d1 = np.array(self.pair_discounts), np.array(self.word_discounts)
         uniform = 1.0 / (self.words + 1)
         low = np.full(len(word), uniform)
@@ -168,6 +189,11 @@ class Model:
         seen = context > 0
         high = np.maximum(pair - d2[np.minimum(pair, 3)], 0)
         p = np.where(seen, (high + mass * low) / np.maximum(context, 1), low)
+        if self.order == 3:
+            context, mass = self._lookup("pairs", _pair(_second(before, docs), before), ("count", "mass"))
+            triple, d3 = self.counts(_gram(word, before, docs, 3)), np.array(self.triple_discounts)
+            high = np.maximum(triple - d3[np.minimum(triple, 3)], 0)
+            p = np.where(context > 0, (high + mass * p) / np.maximum(context, 1), p)
         base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
         return {
             "n_tokens": np.diff(docs),
@@ -210,11 +236,13 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield at, rows
 
 
-def train(docs: DataFrame, parts: int | None = None) -> Model:
-    """Count the model over every row of ``docs.text``; three Spark jobs, one row for each part comes to the driver."""
+def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
+    """Count the model over every row of ``docs.text``; one Spark job for each order, one row for each part comes to the driver."""
+    if order not in (2, 3):
+        raise ValueError(f"the order of the language model is 2 or 3, not {order}")
     spark = workers_find_package(docs.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = Model(f"{_mounted(shared_dir(spark))}/language-model-{uuid.uuid4().hex}", parts)
+    model = Model(f"{_mounted(shared_dir(spark))}/language-model-{uuid.uuid4().hex}", parts, order=order)
     os.makedirs(model.path, exist_ok=True)
     text = docs.select("text")
 
@@ -232,9 +260,8 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
                 small = np.minimum(c, 255).astype(np.uint8)
 
         for b in kernel.slices(batches):
-            word, before, _ = _sequences(b.column("text"))
-            held.append(_pair(before, word))
-            n += len(word)
+            held.append(_gram(*_sequences(b.column("text")), order))
+            n += len(held[-1])
             if n >= GATHER:
                 yield from send()
                 held, n = [], 0
@@ -245,10 +272,10 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
         for part, rows in _by_part(batches):
             keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
             counts = np.concatenate([np.frombuffer(r["v0"], np.uint8) for r in rows]).astype(np.int64)
-            order, first = _grouped(keys)
-            keys, counts = keys[order][first], np.add.reduceat(counts[order], first)
+            sort, first = _grouped(keys)
+            keys, counts = keys[sort][first], np.add.reduceat(counts[sort], first)
             big = np.flatnonzero(counts >= 255)
-            _save(f"{model.path}/pairs-{part:06d}", small=np.minimum(counts, 255).astype(np.uint8), bigat=big, big=counts[big], keys=keys)
+            _save(f"{model.path}/{'pairs' if order == 2 else 'triples'}-{part:06d}", small=np.minimum(counts, 255).astype(np.uint8), bigat=big, big=counts[big], keys=keys)
             yield pa.RecordBatch.from_pylist([{"part": part, "n": len(keys), "tokens": int(counts.sum()), "kinds": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}])
 
     stats = "part bigint, n bigint, tokens bigint, kinds array<bigint>"
@@ -257,28 +284,75 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
         return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(merge, stats).collect()
 
     done = reduced(text.mapInArrow(pairs_out, "part int, keys binary, v0 binary"), pairs_in)
-    model.pairs, model.tokens = sum(r["n"] for r in done), sum(r["tokens"] for r in done)
-    model.pair_discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
+    model.tokens = sum(r["tokens"] for r in done)
+    discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
+
+    def middle_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            keys, count, left, mass = (np.concatenate(x) for x in zip(*held, strict=True))
+            sort, first = _grouped(keys)
+            total = [np.add.reduceat(v[sort], first) for v in (count, left, mass)]
+            return _blobs(keys[sort][first], [total[0].astype(np.int32), *total[1:]], parts)
+
+        for b in kernel.slices(batches, limit=SCORE_BYTES):
+            word, before, at = _sequences(b.column("text"))
+            if not len(word):
+                continue
+            second = _second(before, at)
+            c = model.counts(_gram(word, before, at, 3))
+            zero, begins = np.zeros(len(word)), (second == START) & (before == START)
+            keys = np.concatenate([_pair(before, word), _pair(second, before)])
+            sort, first = _grouped(keys)
+            lost = np.array(model.triple_discounts)[np.minimum(c, 3)] / c
+            # A pair is a context as often as it occurs, except that of the start tokens, which only is a context.
+            columns = [np.concatenate([zero + 1, begins.astype(float)]), np.concatenate([1.0 / c, zero]), np.concatenate([zero, lost])]
+            held.append((keys[sort][first], *[np.add.reduceat(v[sort], first) for v in columns]))
+            n += len(first)
+            if n >= GATHER // 3:
+                yield from send()
+                held, n = [], 0
+        if held:
+            yield from send()
+
+    def middle_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches):
+            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
+            sort, first = _grouped(keys)
+            count, left, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"], t) for r in rows])[sort].astype(float), first) for i, t in enumerate((np.int32, float, float)))
+            whole = [np.rint(v).astype(np.int64) for v in (count, left)]
+            small = [v.astype(np.int32) if v.max() < 2**31 else v for v in whole]
+            _save(f"{model.path}/pairs-{part:06d}", count=small[0], left=small[1], mass=mass, keys=keys[sort][first])
+            n = whole[1][whole[1] > 0]  # the pair of start tokens is a context only
+            yield pa.RecordBatch.from_pylist([{"part": part, "n": len(n), "tokens": int(whole[0].sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}])
+
+    if order == 3:
+        model.triple_discounts = discounts
+        done = reduced(text.mapInArrow(middle_out, "part int, keys binary, v0 binary, v1 binary, v2 binary"), middle_in)
+        discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
+    model.pairs, model.pair_discounts = sum(r["n"] for r in done), discounts
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
             keys, count, left, context, mass = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _grouped(keys)
-            total = [np.add.reduceat(v[order], first) for v in (count, left, context, mass)]
-            return _blobs(keys[order][first], total, parts)
+            sort, first = _grouped(keys)
+            total = [np.add.reduceat(v[sort], first) for v in (count, left, context, mass)]
+            return _blobs(keys[sort][first], total, parts)
 
         for b in kernel.slices(batches, limit=SCORE_BYTES):
             word, before, _ = _sequences(b.column("text"))
-            c = model.counts(_pair(before, word))
+            pair = _pair(before, word)
+            c, value = model._lookup("pairs", pair, ("count", "left")) if order == 3 else [model.counts(pair)] * 2
             one = 1.0 / c
-            lost = np.array(model.pair_discounts)[np.minimum(c, 3)] * one
+            lost = np.array(model.pair_discounts)[np.minimum(value, 3)] * one
             zero = np.zeros(len(word))
             keys = np.concatenate([word, before])
-            order, first = _grouped(keys)
-            columns = [np.concatenate([np.ones(len(word)), zero]), np.concatenate([one, zero]), np.concatenate([zero, np.ones(len(word))]), np.concatenate([zero, lost])]
-            held.append((keys[order][first], *[np.add.reduceat(v[order], first) for v in columns]))
+            sort, first = _grouped(keys)
+            columns = [np.concatenate([np.ones(len(word)), zero]), np.concatenate([one, zero]), np.concatenate([zero, value * one]), np.concatenate([zero, lost])]
+            held.append((keys[sort][first], *[np.add.reduceat(v[sort], first) for v in columns]))
             n += len(first)
             if n >= GATHER:
                 yield from send()
@@ -289,10 +363,10 @@ def train(docs: DataFrame, parts: int | None = None) -> Model:
     def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
             keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            order, first = _grouped(keys)
-            count, left, context, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"]) for r in rows])[order], first) for i in range(4))
+            sort, first = _grouped(keys)
+            count, left, context, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"]) for r in rows])[sort], first) for i in range(4))
             whole = [np.rint(v).astype(np.int64) for v in (count, left, context)]
-            _save(f"{model.path}/words-{part:06d}", count=whole[0], left=whole[1], context=whole[2], mass=mass, keys=keys[order][first])
+            _save(f"{model.path}/words-{part:06d}", count=whole[0], left=whole[1], context=whole[2], mass=mass, keys=keys[sort][first])
             n = whole[1][whole[0] > 0]  # the start token is a context only
             yield pa.RecordBatch.from_pylist([{"part": part, "n": len(n), "tokens": int(whole[0].sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}])
 
@@ -325,4 +399,4 @@ def held_out(doc_id: str = "doc_id"):
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs.where(~held_out()))).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return score(docs, train(docs.where(~held_out()), order=ORDER)).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -201,6 +201,46 @@ def test_language_model(spark):
     assert (empty["n_tokens"], empty["n_known"], empty["train_tokens"], empty["score"]) == (4, 0, 0, 0.0)
 
 
+def brute_trigrams(train, texts):
+    """Log scores by modified Kneser-Ney over distinct left neighbours, straight from the definition."""
+    cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)), "\n"]
+    grams = lambda t: zip([None, None, *cut(t)], [None, *cut(t)], cut(t), strict=False)
+    three = Counter(g for t in train for g in grams(t))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+    levels = []
+    for table in (one, two, three):
+        d = language_model._discounts([sum(x == k for x in table.values()) for k in (1, 2, 3, 4)])
+        total, mass = Counter(), Counter()
+        for g, x in table.items():
+            total[g[:-1]] += x
+            mass[g[:-1]] += d[min(x, 3)]
+        levels.append((table, d, total, mass))
+    out = {}
+    for i, t in texts:
+        s = 0.0
+        for g in grams(t):
+            p = 1 / (len(one) + 1)
+            for k, (table, d, total, mass) in enumerate(levels):
+                h = g[2 - k :]
+                if total[h[:-1]]:
+                    p = (max(table[h] - d[min(table[h], 3)], 0) + mass[h[:-1]] * p) / total[h[:-1]]
+            s += math.log10(p)
+        out[i] = round(s, 6)
+    return out
+
+
+def test_language_model_of_order_3(spark):
+    rows = [(i, prose(i % 40, 30 + i), None) for i in range(80)] + [(500, "the " * 600, None), (501, None, None), (502, "", None), (503, "never seen words", None), (504, prose(3, 20) + " unseen " + prose(900, 9), None)]
+    docs = frame(spark, *rows)
+    model = language_model.train(docs.where("doc_id < 503"), parts=3, order=3)
+    got = {r["doc_id"]: round(r["score"], 6) for r in language_model.score(docs, model).collect()}
+    assert got == brute_trigrams([t for i, t, _ in rows if i < 503], [(i, t) for i, t, _ in rows])
+    assert got != {r["doc_id"]: round(r["score"], 6) for r in language_model.score(docs, language_model.train(docs.where("doc_id < 503"), parts=3)).collect()}
+    empty = language_model.score(docs, language_model.train(docs.limit(0), parts=2, order=3)).where("doc_id = 503").first()
+    assert (empty["n_known"], empty["score"]) == (0, 0.0) and language_model.ORDER == 3
+
+
 def test_packed_hashes():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     assert (language_model._unpacked(language_model._packed(keys)) == keys).all()
