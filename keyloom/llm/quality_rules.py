@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, let, table
 
-#: Common function words of the covered languages (fixed values). A text in another language is judged without this rule.
+#: Common function words of the covered languages (fixed values). Every text is judged by this rule, as in the SQL, so one in another language fails it.
 STOP_WORDS = {
     "en": "the of and to in is that it for was on are as with be by this from or at a an",
     "de": "der die das und den von mit sich des auf nicht ein eine als auch es an im in zu",
