@@ -34,6 +34,8 @@ from keyloom.llm.kernel import U64, HashArray
 
 ORDER, BITS = 5, 12  # symbols of 12 bits: five of them make a key of 60 bits
 DOCS, CHARS, SYMBOLS = 1000, 20_000, (1 << BITS) - 2
+#: Rows of a language from which some are held for the calibration.
+HOLD = 10
 _SPREAD = U64(0x9E3779B97F4A7C15)  # odd: multiplying by it is a bijection, so hashed n-grams never collide
 _MASK = [U64((1 << (BITS * n)) - 1) for n in range(ORDER + 1)]
 
@@ -100,7 +102,11 @@ class Model:
         if not self.langs:
             return
         lang = np.array([self.langs.index(x) for x in langs])
-        held = np.arange(len(langs)) % 5 == 0 if len(langs) >= 50 else np.zeros(len(langs), bool)  # for the calibration
+        held = np.zeros(len(langs), bool)  # for the calibration
+        for k in range(len(self.langs)):
+            own = np.flatnonzero(lang == k)
+            if len(langs) >= 50 and len(own) >= HOLD:
+                held[own[::5]] = True
         counts = np.zeros(sys.maxunicode + 1, np.int64)
         for part in _chunks(np.flatnonzero(~held)):
             low, _, _ = _folded(texts.take(pa.array(part)))
@@ -218,9 +224,15 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS) -> Model:
-    """A model of the languages in ``docs.lang``; rows without text or lang teach nothing."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A model of the languages in ``docs.lang``; rows without text or lang teach nothing.
+
+    Texts over ``chars`` characters are used only for a language that has no others, and of them the beginning.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    short = F.length("text") <= chars
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("short")).collect()
+    sizes = {r["lang"]: r["short"] or r["n"] for r in found}
+    known = known.where(short | F.col("lang").isin([r["lang"] for r in found if not r["short"]])).withColumn("text", F.substring("text", 1, chars))
     if not sizes:
         return Model(pa.array([], pa.string()), [])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))

@@ -157,6 +157,16 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_and_long_languages(spark):
+    de = lambda i, n: prose(i, n, DE, "weg haus baum")
+    langs = ["de" if i in (0, 5) else "en" for i in range(60)]  # places that were held for the calibration
+    texts = [de(i, 40) if lang == "de" else prose(i, 40) for i, lang in enumerate(langs)]
+    assert language_id.Model(pa.array(texts), langs).predict(pa.array([de(900, 60), prose(901, 60)]))[0] == ["de", "en"]
+    rows = [(i, prose(i, 20), "en") for i in range(60)] + [(100 + i, de(i, 400), "de") for i in range(8)]
+    model = language_id.train(frame(spark, *rows), chars=500)
+    assert model.langs == ["de", "en"] and model.predict(pa.array([de(900, 60), prose(901, 60)]))[0] == ["de", "en"]
+
+
 def brute_model(train, texts):
     cut = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP)), "\n"]
     c, b = Counter(), Counter()
