@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions import scalar
-from keyloom.model import ReadOptions
+from keyloom.model import Options, ReadOptions
 from keyloom.operators import compaction, metadata, read, resolve
 from keyloom.sources import changes
 
@@ -285,6 +285,33 @@ def metadata_check(spark, sf_dir):
     return raw.join(_tables(spark, sf_dir), "file_number").where("n <> entry_count").select("file_number")
 
 
+@query(
+    """SELECT level, file_number FROM (SELECT *, max(largest_key) OVER (ORDER BY smallest_key, file_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS furthest FROM tables)
+    WHERE furthest >= smallest_key""",
+    LOG,
+    SPLIT,
+)
+def sorted_level_conflicts(spark, sf_dir):
+    """The same check over files that do overlap: all of them taken for one sorted level."""
+    t = _tables(spark, sf_dir)
+    found = metadata.sorted_level_conflicts(t.withColumn("own", F.col("level")).withColumn("level", F.lit(1)))
+    return found.select(F.col("own").alias("level"), "file_number")
+
+
+@query("SELECT file_number FROM tables WHERE file_number % 7 IN (1, 2, 3, 4, 5)", LOG, SPLIT)
+def manifest_file_check(spark, sf_dir):
+    """Files that the manifest describes otherwise than they are, or that are missing: faults planted by file number, one kind each."""
+    t = _tables(spark, sf_dir)
+    kind = F.col("file_number") % 7
+    listed = (
+        t.withColumn("entry_count", F.col("entry_count") + (kind == 1).cast("int"))
+        .withColumn("file_size_bytes", F.col("file_size_bytes") + (kind == 2).cast("int"))
+        .withColumn("smallest_key", F.concat(F.col("smallest_key"), F.when(kind == 3, "x").otherwise("")))
+        .withColumn("largest_key", F.concat(F.col("largest_key"), F.when(kind == 4, "x").otherwise("")))
+    )
+    return metadata.metadata_mismatches(listed, t.where(kind != 5))
+
+
 @query("SELECT printf('%06d.sst', file_number) AS name, level FROM tables", LOG, SPLIT)
 def file_names(spark, sf_dir):
     return _tables(spark, sf_dir).select(scalar.file_name(F.col("file_number")).alias("name"), "level")
@@ -368,6 +395,43 @@ def block_cut(spark, sf_dir):
     return compaction.blocks(compaction.merge(_oldest_files(spark, sf_dir), drop_deletes=True), SPLIT_BYTES)
 
 
+BLOCKS = """filled(i, held, block) AS (SELECT i, cost, 0 FROM puts WHERE i = 1 UNION ALL SELECT p.i, CASE WHEN f.held >= 400 THEN p.cost ELSE f.held + p.cost END, CASE WHEN f.held >= 400 THEN f.block + 1 ELSE f.block END FROM filled f JOIN puts p ON p.i = f.i + 1),
+blocks AS (SELECT block, max(key) AS last_key, count(*) AS n, sum(cost) AS bytes FROM puts JOIN filled USING (i) GROUP BY block)"""
+
+
+def _blocks(spark, sf_dir):
+    merged = compaction.merge(_oldest_files(spark, sf_dir), drop_deletes=True)
+    cost = scalar.output_cost(F.col("key"), F.col("value"))
+    return compaction.blocks(merged, SPLIT_BYTES).join(merged.select("key", cost.alias("cost")), "key").groupBy("block").agg(F.max("key").alias("last_key"), F.count("*").alias("n"), F.sum("cost").alias("bytes"))
+
+
+@query("SELECT block::BIGINT AS block, (sum(bytes) OVER (ORDER BY block) - bytes)::BIGINT AS first_byte, n::BIGINT AS entries FROM blocks", LOG, SPLIT, BLOCKS)
+def block_offsets(spark, sf_dir):
+    """Where each block of one file begins: a running sum over the file's blocks."""
+    from pyspark.sql import Window
+
+    before = F.sum("bytes").over(Window.orderBy("block")) - F.col("bytes")  # the blocks of one file
+    return _blocks(spark, sf_dir).select("block", before.cast("bigint").alias("first_byte"), F.col("n").alias("entries"))
+
+
+@query("SELECT block::BIGINT AS block, last_key FROM blocks WHERE last_key >= 'user-00000042' ORDER BY block LIMIT 1", LOG, SPLIT, BLOCKS)
+def block_seek(spark, sf_dir):
+    """The block that a seek inside a file reads: the first whose last key is not below the target."""
+    return _blocks(spark, sf_dir).where("last_key >= 'user-00000042'").orderBy("block").limit(1).select("block", "last_key")
+
+
+DEEP = """deep AS (SELECT * REPLACE (CASE WHEN level = 1 THEN 2 ELSE 1 END AS level) FROM tables),
+own AS (SELECT * FROM deep WHERE level = 1 ORDER BY file_number LIMIT 1)"""
+
+
+@query("SELECT level, file_number FROM own UNION ALL SELECT d.level, d.file_number FROM deep d, own WHERE d.level = 2 AND d.smallest_key <= own.largest_key AND own.smallest_key <= d.largest_key", LOG, SPLIT, DEEP)
+def deep_pick(spark, sf_dir):
+    """The inputs of a compaction below level 0: the oldest file of the level and the files of the next that it meets (levels as if one deeper)."""
+    t = _tables(spark, sf_dir).withColumn("level", F.when(F.col("level") == 1, 2).otherwise(1))
+    own = compaction.oldest(t, 1, 1)
+    return own.unionByName(compaction.overlapping(t, 2, compaction.key_range(own))).select("level", "file_number")
+
+
 @query("SELECT file_number, smallest_key FROM tables WHERE level = 1 AND largest_key >= 'user-00000042' ORDER BY smallest_key LIMIT 1", LOG, SPLIT)
 def index_seek(spark, sf_dir):
     return metadata.first_file_from(_tables(spark, sf_dir), 1, F.lit("user-00000042")).select("file_number", "smallest_key")
@@ -492,6 +556,54 @@ def engine_scan(spark, sf_dir):
     return engine.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _in_batches(engine, log: DataFrame, batches: int = 4) -> None:
+    """Write the log in the order of its sequence numbers, one batch after the other."""
+    for k in range(batches):
+        engine.apply(log.where(F.floor(F.col("seq") / 1000) % batches == k).select("key", "type", "value", "seq"), order_by="seq")
+
+
+@query("SELECT k + 1 AS file_number, count(DISTINCT key)::BIGINT AS entries FROM (SELECT *, seq // 1000 % 4 AS k FROM log) GROUP BY k", LOG)
+def flush_trigger(spark, sf_dir):
+    """Level-0 segments after four writes that each fill the write buffer: one segment for each."""
+    from keyloom.plans.engine import scratch
+
+    engine = scratch(spark, Options(write_buffer_size=1, level0_compaction_trigger=0))
+    _in_batches(engine, _log(spark, sf_dir))
+    return engine.tables().select("file_number", F.col("entry_count").alias("entries"))
+
+
+@query("SELECT arg_max(value, (k, seq)) AS value, key FROM (SELECT *, seq // 1000 % 6 AS k FROM log) GROUP BY key HAVING arg_max(type, (k, seq)) = 1", LOG)
+def write_stall(spark, sf_dir):
+    """The live view after six writes against a level 0 that is full with two segments: writes wait for compactions."""
+    from keyloom.plans.engine import scratch
+
+    engine = scratch(spark, Options(write_buffer_size=1, level0_compaction_trigger=2, level0_write_stall_trigger=2))
+    _in_batches(engine, _log(spark, sf_dir), 6)
+    return engine.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT key, arg_max(value, (k, seq)) AS value FROM (SELECT *, seq // 1000 % 5 AS k FROM log) GROUP BY key HAVING arg_max(type, (k, seq)) = 1", LOG)
+def compaction_beside_flush(spark, sf_dir):
+    """The live view after a compaction whose output was written while another segment was flushed: that one stays in level 0."""
+    from keyloom.plans.engine import scratch
+
+    engine = scratch(spark, Options(write_buffer_size=1, level0_compaction_trigger=4))
+    log = _log(spark, sf_dir)
+    part = lambda k: log.where(F.floor(F.col("seq") / 1000) % 5 == k).select("key", "type", "value", "seq")
+    for k in range(4):
+        engine.apply(part(k), order_by="seq")
+    merged = engine._merged
+
+    def beside(*args):
+        made = merged(*args)
+        engine.apply(part(4), order_by="seq")
+        return made
+
+    engine._merged = beside
+    engine.compact()
+    return engine.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 @query("SELECT key, value FROM winners WHERE type = 1", LOG)
 def stream_scan(spark, sf_dir):
     """The same view, fed by a stream that flushes each micro-batch to a level-0 segment."""

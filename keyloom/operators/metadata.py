@@ -29,7 +29,8 @@ def overlaps(a_low: Column, a_high: Column, b_low: Column, b_high: Column) -> Co
 def overlap_pairs(tables: DataFrame) -> DataFrame:
     """Pairs of files of one level whose key ranges meet: a range join on file metadata, never on entries.
 
-    Swept in key order: each file meets the files that begin before it ends. The level is an equi-join key.
+    The level is an equi-join key and the ranges a filter, so the work grows with the square of a level's number of files.
+    :func:`sorted_level_conflicts` tells in one ordered pass whether there is any pair.
     """
     a = tables.select("level", F.col("file_number").alias("a"), F.col("smallest_key").alias("a_low"), F.col("largest_key").alias("a_high"))
     b = tables.select("level", F.col("file_number").alias("b"), F.col("smallest_key").alias("b_low"), F.col("largest_key").alias("b_high"))
@@ -70,8 +71,8 @@ def order_violations(entries: DataFrame, by: str = "file_number") -> DataFrame:
 
 
 def metadata_mismatches(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """File numbers on which the manifest and the files disagree, or that only one of them knows."""
-    cols = ["smallest_key", "largest_key", "entry_count"]
+    """File numbers on which the manifest and the files disagree (range, entries, size), or that only one of them knows."""
+    cols = ["smallest_key", "largest_key", "entry_count", "file_size_bytes"]
     f = files.select("file_number", *[F.col(c).alias(f"_{c}") for c in cols])
     same = F.lit(True)
     for c in cols:

@@ -1,79 +1,119 @@
 """The stored engine: change log, level-0 flushes, levelled compaction, snapshot reads, all as Parquet under one root.
 
-Writes append a batch to the log and publish a version. A flush resolves the unflushed log into one level-0 segment for each range
-of keys (sorted, disjoint files share a file number's precedence by level and number). Compaction merges chosen files and cuts
-the output by key ranges, so sorted levels hold disjoint files. Every change of state is one manifest version.
+Writes append a batch to the log and publish a version. A batch that fills the write buffer flushes the log into one level-0 segment:
+one file number, whose sorted parts have disjoint key ranges. Compaction merges chosen segments and cuts the output by key ranges, so
+sorted levels hold disjoint segments. Every change of state is one manifest version; it is made from the newest version and made again
+if another writer published first. File numbers are reserved before their segments are written, so flushes and compactions run side
+by side, and a compaction keeps what was flushed meanwhile. Level 0 has to fall below the stall trigger before a write goes on.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
 import time
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.scalar import memory_cost, output_cost
 from keyloom.model import DELETE, JOBS, LOG, PUT, SEGMENT, TABLES, CommitConflict, Corruption, InvalidArgument, NotFound, Options, ReadOptions, key_bytes
 from keyloom.operators import compaction, metadata, read, resolve
+from keyloom.plans.worker import Worker
 from keyloom.sources.manifest import Manifest, Segment, Version
 
 MEMTABLE_LEVEL = -1
+#: Publications tried before a writer gives up against others.
+ATTEMPTS = 50
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, options: Options, manifest: Manifest):
+    """``background``: compactions run on a thread of their own, writes wait for them only when they stall; else a write that meets a full
+    level 0 compacts by itself, and other compactions are the caller's."""
+
+    def __init__(self, spark: SparkSession, path: str, options: Options, manifest: Manifest, background: bool = False):
         self.spark, self.path, self.options, self.manifest = spark, path, options, manifest
+        self.worker = Worker(self.compact) if background else None
 
-    # --- opening ---
+    # --- opening and closing ---
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, options: Options = Options()) -> Engine:
+    def open(cls, spark: SparkSession, path: str, options: Options = Options(), background: bool = False) -> Engine:
         manifest = Manifest(spark, path)
         there = manifest.exists()
         if there and options.error_if_exists:
             raise InvalidArgument(f"{path} exists")
         if not there and not options.create_if_missing:
             raise NotFound(path)
-        engine = cls(spark, path, options, manifest)
+        engine = cls(spark, path, options, manifest, background)
         if there:
-            engine.verify()
+            engine.verify(full=False)
         else:
             manifest.publish(Version(number=1))
         return engine
 
+    def close(self) -> None:
+        """Finish the compactions that are due in the background; raises what stopped them."""
+        if self.worker:
+            self.worker.close()
+
     def version(self, number: int | None = None) -> Version:
         return self.manifest.load(number)
 
-    def verify(self) -> None:
-        """Hold the manifest against the files: key ranges and entry counts have to agree, sorted levels have to be disjoint."""
+    def verify(self, full: bool = True) -> None:
+        """Hold the manifest against the files: what segments take on disk has to agree, sorted levels have to be disjoint, and with ``full``,
+        which reads every entry, key ranges, entry counts and logical sizes too."""
         v = self.version()
         if not v.segments:
             return
+        if bad := [s.file_number for s in v.segments if self.manifest.stored_bytes(s.path) != s.stored_bytes][:5]:
+            raise Corruption(f"the manifest and the stored files disagree on {bad}")
         listed = self.tables(v)
-        if bad := metadata.metadata_mismatches(listed, metadata.table_metadata(self._entries(v))).limit(5).collect():
+        if full and (bad := metadata.metadata_mismatches(listed, metadata.table_metadata(self._entries(v))).limit(5).collect()):
             raise Corruption(f"the manifest and the segments disagree on {[r['file_number'] for r in bad]}")
         if bad := metadata.sorted_level_conflicts(listed).limit(5).collect():
             raise Corruption(f"overlapping files in a sorted level: {[r['file_number'] for r in bad]}")
 
+    def _commit(self, change: Callable[[Version], Version]) -> Version:
+        """Publish ``change`` of the newest version, again as long as other writers publish first. ``change`` raises what makes it void."""
+        for _ in range(ATTEMPTS):
+            v = self.version()
+            try:
+                return self.manifest.publish(replace(change(v), number=v.number + 1))
+            except CommitConflict:
+                if self.version().number == v.number:  # raised by ``change``
+                    raise
+        raise CommitConflict(f"no version of this writer was published in {ATTEMPTS} attempts")
+
+    def _reserved(self, files: int) -> int:
+        """The first of ``files`` file numbers that nobody else gets."""
+        return self._commit(lambda v: replace(v, next_file_number=v.next_file_number + files)).next_file_number - files
+
     # --- writing ---
 
     def apply(self, changes: DataFrame, order_by: str, stream: str | None = None, batch: int | None = None) -> None:
         """Append (key, type, value) rows as changes in the order of a column; a stream's batch is applied once, however often it comes.
 
-        Sequence numbers are dense: rows are range-partitioned by the order, and each partition starts after those before it.
+        Sequence numbers are dense: rows are range-partitioned by the order, and each partition starts after those before it. Rows of equal
+        order follow their key, type and value, so that a retry numbers them alike. A full write buffer is flushed; a write waits while
+        level 0 is full. One writer at a time: changes that another writer appends meanwhile are a CommitConflict.
         """
+        self._wait()
         v = self.version()
         if stream is not None and v.batches.get(stream, -1) >= batch:
             return
         raw = changes.select(F.col("key").cast("binary").alias("key"), F.col("type").cast("int").alias("type"), F.col("value").cast("binary").alias("value"), F.col(order_by).alias("_order"))
         path = f"{self.path}/log/{uuid.uuid4().hex}"
-        raw.orderBy("_order").withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_order").write.parquet(f"{path}/staged")
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        raw.orderBy("_order", "key", "type", "value").withColumn("_part", F.spark_partition_id()).withColumn("_place", place).drop("_order").write.parquet(f"{path}/staged")
         staged = self.spark.read.parquet(f"{path}/staged")
         too_large = F.octet_length("key") + F.octet_length("value") > self.options.max_record_size
         bad = F.col("key").isNull() | (F.octet_length("key") == 0) | F.col("value").isNull() | ~F.col("type").isin(PUT, DELETE) | ((F.col("type") == DELETE) & (F.octet_length("value") > 0)) | too_large
-        sizes = staged.groupBy("_part").agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0)).alias("bad")).orderBy("_part").collect()
+        cost = F.sum(memory_cost(F.col("key"), F.col("value"))).alias("cost")
+        sizes = staged.groupBy("_part").agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(bad, F.lit(True)), 1).otherwise(0)).alias("bad"), cost).orderBy("_part").collect()
         if any(r["bad"] for r in sizes):
             self.manifest.remove(path)
             raise InvalidArgument("changes need a non-empty key, a type, a value (empty for a delete), and the size limit")
@@ -81,16 +121,34 @@ class Engine:
         for r in sizes:
             starts.append((r["_part"], total))
             total += r["n"]
-        batches = v.batches | ({stream: batch} if stream is not None else {})
-        if total == v.last_sequence:
-            self.manifest.remove(path)
-            self.manifest.publish(replace(v, number=v.number + 1, batches=batches))
-            return
-        begin = self.spark.createDataFrame(starts, "_part int, _start bigint")
-        numbered = staged.join(F.broadcast(begin), "_part").select("key", (F.col("_start") + F.col("_place") + 1).alias("seq"), "type", "value")
-        numbered.write.parquet(f"{path}/rows")
-        self.manifest.publish(replace(v, number=v.number + 1, last_sequence=total, log=(*v.log, f"{path}/rows"), batches=batches))
-        self.manifest.remove(f"{path}/staged")
+        rows = ()
+        if total > v.last_sequence:
+            begin = self.spark.createDataFrame(starts, "_part int, _start bigint")
+            numbered = staged.join(F.broadcast(begin), "_part").select("key", (F.col("_start") + F.col("_place") + 1).alias("seq"), "type", "value")
+            numbered.write.parquet(f"{path}/rows")
+            rows = (f"{path}/rows",)
+
+        def appended(now: Version) -> Version:
+            if now.last_sequence != v.last_sequence or now.batches != v.batches:
+                raise CommitConflict("another writer appended changes")
+            batches = v.batches | ({stream: batch} if stream is not None else {})
+            return replace(now, last_sequence=total, log=(*now.log, *rows), log_bytes=now.log_bytes + sum(r["cost"] for r in sizes), batches=batches)
+
+        v = self._commit(appended)
+        self.manifest.remove(f"{path}/staged" if rows else path)
+        # Overwritten keys count once in the buffer: the exact size is asked for only when the sum reaches it.
+        if rows and v.log_bytes >= self.options.write_buffer_size and self.memtable_usage() >= self.options.write_buffer_size:
+            self.flush()
+
+    def _wait(self) -> None:
+        """Hold a write until level 0 is below the stall trigger."""
+        if self.worker:
+            self.worker.check()
+            while self.stalled():
+                self.worker.wait_turn()
+        else:
+            while self.stalled() and self.compact():
+                pass
 
     def _one(self, key: bytes | str, kind: int, value: bytes | str) -> None:
         raw = value.encode() if isinstance(value, str) else bytes(value)
@@ -131,7 +189,9 @@ class Engine:
         return self.spark.createDataFrame(rows, TABLES)
 
     def jobs(self, v: Version | None = None) -> DataFrame:
-        return self.spark.createDataFrame([tuple(j[n] for n in JOBS.names) for j in (v or self.version()).jobs], JOBS)
+        """Finished compactions, one file each."""
+        v = v or self.version()
+        return self.spark.read.schema(JOBS).json(f"{self.path}/jobs").where(F.col("job_id") <= v.jobs) if v.jobs else self.spark.createDataFrame([], JOBS)
 
     def memtable_usage(self) -> int:
         return self.log().transform(resolve.winners).agg(F.sum(memory_cost(F.col("key"), F.col("value"))).alias("n")).first()["n"] or 0
@@ -171,28 +231,55 @@ class Engine:
 
     # --- flushing and compacting ---
 
-    def _write(self, entries: DataFrame, first: int, level: int, files: int) -> tuple[Segment, ...]:
-        """Write entries as sorted files with disjoint key ranges, numbered from ``first``."""
-        path = f"{self.path}/segments/{uuid.uuid4().hex}"
-        cut = entries.select("key", "seq", "type", "value").repartitionByRange(files, "key").sortWithinPartitions("key")
-        writer = cut.withColumn("file_number", F.spark_partition_id().cast("bigint") + first).withColumn("_dir", F.col("file_number")).write.partitionBy("_dir")
+    def _writer(self, rows: DataFrame, path: str):
+        writer = rows.write.partitionBy("_dir")
         if self.options.bloom_filter:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        writer.parquet(path)
-        rows = self.spark.read.schema("key binary, value binary, file_number bigint").parquet(path)
+        return writer.parquet(path)
+
+    def _stats(self) -> list:
         size = F.sum(output_cost(F.col("key"), F.col("value"))).cast("bigint")
-        made = rows.groupBy("file_number").agg(F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high"), F.count("*").alias("n"), size.alias("size")).orderBy("file_number").collect()
-        return tuple(Segment(r["file_number"], level, f"{path}/_dir={r['file_number']}", r["low"], r["high"], r["n"], r["size"]) for r in made)
+        return [F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high"), F.count("*").alias("n"), size.alias("size")]
+
+    def _segment(self, number: int, level: int, path: str, r: dict) -> Segment:
+        at = f"{path}/_dir={number}"
+        return Segment(number, level, at, r["low"], r["high"], r["n"], r["size"], self.manifest.stored_bytes(at))
 
     def flush(self, one_file: bool = False) -> None:
-        """Resolve the unflushed log into level-0 files and forget it."""
-        v = self.version()
-        if not v.log:
+        """Resolve the unflushed log into one level-0 segment and forget it; changes appended meanwhile stay. ``one_file``: in one part.
+
+        The segment's statistics are observed while it is written, so nothing is read again.
+        """
+        if not self.version().log:
             return
-        entries = resolve.winners(self.log(v))
-        files = 1 if one_file else max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        made = self._write(entries, v.next_file_number, 0, files) if not one_file else self._write(entries.coalesce(1), v.next_file_number, 0, 1)
-        self.manifest.publish(replace(v, number=v.number + 1, log=(), segments=(*v.segments, *made), next_file_number=max(s.file_number for s in made) + 1))
+        number = self._reserved(1)
+        v = self.version()
+        entries = resolve.winners(self.log(v)).select("key", "seq", "type", "value")
+        parts = 1 if one_file else max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        cut = entries.coalesce(1) if one_file else entries.repartitionByRange(parts, "key")
+        path, seen = f"{self.path}/segments/{uuid.uuid4().hex}", Observation()
+        made = cut.sortWithinPartitions("key").observe(seen, *self._stats())
+        self._writer(made.withColumn("file_number", F.lit(number).cast("bigint")).withColumn("_dir", F.lit(number).cast("bigint")), path)
+        segment = self._segment(number, 0, path, seen.get)
+
+        def installed(now: Version) -> Version:
+            if now.log[: len(v.log)] != v.log:
+                raise CommitConflict("another writer flushed the log")
+            return replace(now, log=now.log[len(v.log) :], log_bytes=now.log_bytes - v.log_bytes, segments=(*now.segments, segment))
+
+        self._commit(installed)
+        if self.worker:
+            self.worker.schedule()
+
+    def _merged(self, entries: DataFrame, level: int, files: int) -> tuple[Segment, ...]:
+        """Write entries as up to ``files`` sorted segments with disjoint key ranges and numbers of their own."""
+        first = self._reserved(files)
+        path = f"{self.path}/segments/{uuid.uuid4().hex}"
+        cut = entries.select("key", "seq", "type", "value").repartitionByRange(files, "key").sortWithinPartitions("key")
+        self._writer(cut.withColumn("file_number", F.spark_partition_id().cast("bigint") + first).withColumn("_dir", F.col("file_number")), path)
+        rows = self.spark.read.schema("key binary, value binary, file_number bigint").parquet(path)
+        made = rows.groupBy("file_number").agg(*self._stats()).orderBy("file_number").collect()
+        return tuple(self._segment(r["file_number"], level, path, r.asDict()) for r in made)
 
     def _choice(self, v: Version) -> tuple[list[Segment], int] | None:
         """The inputs of the next compaction and its output level; level 0 and sorted levels take turns when both are due."""
@@ -215,7 +302,7 @@ class Engine:
         return own, level + 1
 
     def compact(self) -> bool:
-        """One compaction, if one is due."""
+        """One compaction, if one is due. What others flush meanwhile stays; that an input is gone meanwhile is a CommitConflict."""
         v = self.version()
         choice = self._choice(v)
         if choice is None:
@@ -228,24 +315,26 @@ class Engine:
         entries = compaction.merge(self._entries(v, tuple(inputs)), drop_deletes=not (deeper or older))
         size = sum(s.file_size_bytes for s in inputs)
         files = max(1, -(-size // self.options.max_compaction_output_file_size)) if self.options.max_compaction_output_file_size else 1
-        made = self._write(entries, v.next_file_number, level, files)
-        now = self.version()  # flushes may have come in between
+        made = self._merged(entries, level, files)
         gone = {s.file_number for s in inputs}
-        if len([s for s in now.segments if s in inputs]) != len(inputs):
-            raise CommitConflict("an input of the compaction is no longer current")
-        if made and now.next_file_number > v.next_file_number:
-            raise CommitConflict("file numbers of the compaction were taken by a flush")
-        job = dict(zip(JOBS.names, (len(now.jobs) + 1, min(s.level for s in inputs), level, len(inputs), len(made), size, sum(s.file_size_bytes for s in made), time.perf_counter_ns() - began), strict=True))
-        self.manifest.publish(
-            replace(
-                now,
-                number=now.number + 1,
-                segments=(*[s for s in now.segments if s.file_number not in gone], *made),
-                next_file_number=max([now.next_file_number, *[s.file_number + 1 for s in made]]),
-                jobs=(*now.jobs, job),
-                prefer_sorted=min(s.level for s in inputs) == 0,
-            )
-        )
+        written, source = [], min(s.level for s in inputs)
+
+        def installed(now: Version) -> Version:
+            if len([s for s in now.segments if s in inputs]) != len(inputs):
+                raise CommitConflict("an input of the compaction is no longer current")
+            job = dict(zip(JOBS.names, (now.jobs + 1, source, level, len(inputs), len(made), size, sum(s.file_size_bytes for s in made), time.perf_counter_ns() - began), strict=True))
+            written.append(f"{self.path}/jobs/{uuid.uuid4().hex}.json")
+            self.manifest.write(self.manifest.jvm.org.apache.hadoop.fs.Path(written[-1]), json.dumps(job))
+            return replace(now, segments=(*[s for s in now.segments if s.file_number not in gone], *made), jobs=now.jobs + 1, prefer_sorted=source == 0)
+
+        try:
+            self._commit(installed)
+        except CommitConflict:
+            for path in written:
+                self.manifest.remove(path)
+            raise
+        for path in written[:-1]:  # of attempts that came too late
+            self.manifest.remove(path)
         return True
 
     def compact_until_quiet(self) -> int:
@@ -259,13 +348,32 @@ class Engine:
         o = self.options
         return bool(o.level0_write_stall_trigger and o.level0_compaction_trigger) and sum(s.level == 0 for s in self.version().segments) >= o.level0_write_stall_trigger
 
+    @contextlib.contextmanager
+    def snapshot(self) -> Iterator[int]:
+        """The number of the newest version, for ``at``; inside, no process's ``vacuum`` deletes what the version refers to."""
+        pin, number = f"{self.path}/_pins/{uuid.uuid4().hex}", None
+        while number is None:
+            number = self.version().number
+            self.manifest.write(self.manifest.jvm.org.apache.hadoop.fs.Path(f"{pin}-{number}"), "")
+            if number not in self.manifest.numbers():  # vacuumed before it was pinned
+                self.manifest.remove(f"{pin}-{number}")
+                number = None
+        try:
+            yield number
+        finally:
+            self.manifest.remove(f"{pin}-{number}")
+
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Delete versions but the newest, and segments and log batches that no kept version refers to."""
+        """Delete versions but the newest and those that a :meth:`snapshot` holds, and segments and log batches that no kept version refers to.
+
+        A reader outside a snapshot is on its own: its files go with its version.
+        """
+        held = set(self.manifest.pinned(f"{self.path}/_pins"))
         numbers = self.manifest.numbers()
-        kept = [self.version(n) for n in numbers[-keep_versions:]]
-        needed = {s.path for v in kept for s in v.segments} | {p for v in kept for p in v.log}
+        kept = {n: self.version(n) for n in numbers if n in held or n in numbers[-keep_versions:]}
+        needed = {s.path for v in kept.values() for s in v.segments} | {p for v in kept.values() for p in v.log}
         gone = 0
-        for n in numbers[:-keep_versions]:
+        for n in (n for n in numbers if n not in kept):
             old = self.version(n)
             for p in {s.path for s in old.segments} | set(old.log):
                 if p not in needed:
@@ -286,7 +394,10 @@ def _meets(s: Segment, o: ReadOptions) -> bool:
 
 
 def scratch(spark: SparkSession, options: Options = Options(level0_compaction_trigger=4)) -> Engine:
-    """An engine of its own under the shared folder that the session names."""
+    """An engine of its own under the shared folder that the session names (in local mode, if it names none, under the SQL warehouse)."""
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = have.get() if have.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise InvalidArgument("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return Engine.open(spark, f"{root.rstrip('/')}/keyloom-{uuid.uuid4().hex}", options)

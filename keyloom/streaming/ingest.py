@@ -13,14 +13,12 @@ from keyloom.plans.engine import Engine
 def start(changes: DataFrame, engine: Engine, order_by: str, checkpoint: str, name: str = "changes", **trigger) -> StreamingQuery:
     """Feed a stream of (key, type, value, order) into the engine. Arrival decides between batches, the order column inside one.
 
-    Backpressure: when level 0 is full, the batch compacts before it returns, so the stream waits.
+    Backpressure: a batch that meets a full level 0 waits in ``apply`` for compactions, so the stream waits.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         engine.apply(df, order_by, stream=name, batch=number)
         engine.flush()
-        if engine.stalled():
-            engine.compact_until_quiet()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

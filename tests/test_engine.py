@@ -1,11 +1,13 @@
 """The stored engine: durability, flush, compaction, snapshots, conflicts, streaming, random operations against a dictionary."""
 
 import random
+import threading
 import uuid
+from dataclasses import replace
 
 import pytest
 
-from keyloom.model import CommitConflict, InvalidArgument, NotFound, Options, ReadOptions
+from keyloom.model import CommitConflict, Corruption, InvalidArgument, NotFound, Options, ReadOptions
 from keyloom.plans.engine import Engine
 from keyloom.streaming.ingest import drain
 
@@ -96,13 +98,184 @@ def test_cascade(spark, root):
 def test_two_writers_cannot_publish_one_version(spark, root):
     a, b = Engine.open(spark, root), Engine.open(spark, root)
     v = a.version()
-    from dataclasses import replace
 
     a.manifest.publish(replace(v, number=v.number + 1))
     with pytest.raises(CommitConflict):
         b.manifest.publish(replace(v, number=v.number + 1))
 
 
+def test_of_threads_one_publishes(spark, root):
+    engines = [Engine.open(spark, root) for _ in range(6)]
+    for _ in range(5):
+        v, start, said = engines[0].version(), threading.Barrier(6), []
+
+        def publish(e, k, v=v, start=start, said=said):
+            start.wait()
+            try:
+                e.manifest.publish(replace(v, number=v.number + 1, next_file_number=100 + k))
+                said.append(k)
+            except CommitConflict:
+                pass
+
+        threads = [threading.Thread(target=publish, args=(e, k)) for k, e in enumerate(engines)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert len(said) == 1 and engines[0].version().next_file_number == 100 + said[0]
+
+
+def test_numbers_are_reserved_once(spark, root):
+    engines, got = [Engine.open(spark, root) for _ in range(4)], []
+    threads = [threading.Thread(target=lambda e=e: got.extend(e._reserved(2) for _ in range(3))) for e in engines]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(got) == list(range(1, 25, 2))
+
+
+def test_a_store_without_atomic_names_is_refused(spark):
+    from keyloom.sources.manifest import Manifest
+
+    spark._jsc.hadoopConfiguration().set("fs.bucket.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+    m = Manifest(spark, "file:///tmp")
+    assert m.scheme == "file"
+    with pytest.raises(Exception, match="publish|scheme|FileSystem"):
+        Manifest(spark, "s3a://bucket/x")
+
+
+def test_full_buffer_is_flushed_into_one_segment(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=60, level0_compaction_trigger=0))
+    write(e, ("a", "1"), ("b", "2"))
+    assert e.version().log and not e.version().segments
+    for i in range(4):
+        write(e, ("a", str(i)), ("b", str(i)))  # overwritten keys do not fill the buffer
+    assert not e.version().segments and e.memtable_usage() == 28
+    write(e, ("c", "3" * 40), ("d", "4"))
+    v = e.version()
+    assert not v.log and v.log_bytes == 0 and [(s.level, s.file_number, s.entry_count) for s in v.segments] == [(0, 1, 4)]
+    e.put("e", "5" * 60)
+    assert [s.file_number for s in e.version().segments] == [1, 2]
+
+
+def test_writes_wait_while_level_0_is_full(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=2, level0_write_stall_trigger=2))
+    for i in range(5):
+        write(e, (f"k{i}", "v"))
+        assert sum(s.level == 0 for s in e.version().segments) <= 2
+    assert [k for k, _ in shown(e.scan())] == [f"k{i}" for i in range(5)] and e.version().jobs >= 2
+
+
+def test_background_compaction(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=2, level0_write_stall_trigger=3), background=True)
+    for i in range(6):
+        write(e, (f"k{i % 4}", str(i)))
+    e.close()  # drains
+    assert sum(s.level == 0 for s in e.version().segments) < 2
+    assert shown(Engine.open(spark, root).scan()) == [("k0", "4"), ("k1", "5"), ("k2", "2"), ("k3", "3")]
+
+
+def test_background_error_sticks(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=1), background=True)
+
+    def fails(*_):
+        raise OSError("no space")
+
+    e._merged = fails
+    write(e, ("a", "1"))
+    e.worker.thread.join(60)
+    for _ in range(2):
+        with pytest.raises(OSError, match="no space"):
+            write(e, ("b", "2"))
+    with pytest.raises(OSError, match="no space"):
+        e.close()
+    assert shown(Engine.open(spark, root).scan()) == [("a", "1")]
+
+
+def test_compaction_keeps_what_is_flushed_meanwhile(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=2))
+    write(e, ("a", "1"), ("b", "1"))
+    write(e, ("a", None))
+    merged = e._merged
+
+    def beside(*args):
+        made = merged(*args)
+        write(Engine.open(spark, root, e.options), ("a", "new"))
+        return made
+
+    e._merged = beside
+    assert e.compact()
+    assert sorted((s.level, s.entry_count) for s in e.version().segments) == [(0, 1), (1, 1)]
+    assert shown(e.scan()) == [("a", "new"), ("b", "1")]
+    numbers = [s.file_number for s in e.version().segments]
+    assert len(set(numbers)) == len(numbers)
+
+
+def test_lost_inputs_refuse_the_compaction(spark, root):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=2))
+    write(e, ("a", "1"))
+    write(e, ("b", "1"))
+    merged, other = e._merged, Engine.open(spark, root, e.options)
+
+    def beside(*args):
+        made = merged(*args)
+        other.compact()
+        return made
+
+    e._merged = beside
+    with pytest.raises(CommitConflict):
+        e.compact()
+    assert shown(e.scan()) == [("a", "1"), ("b", "1")] and e.jobs().count() == 1
+
+
+def test_open_finds_changed_files(spark, root):
+    import glob
+    import os
+
+    e = Engine.open(spark, root)
+    write(e, ("a", "1"), ("b", "2"))
+    e.flush(one_file=True)
+    Engine.open(spark, root).verify()
+    (part,) = glob.glob(f"{root[7:]}/segments/*/_dir=1/*.parquet")
+    os.remove(part)
+    with pytest.raises(Corruption):
+        Engine.open(spark, root)
+
+
+def test_full_verification_compares_sizes(spark, root):
+    e = Engine.open(spark, root)
+    write(e, ("a", "1"), ("b", "2"))
+    e.flush()
+    v = e.version()
+    wrong = replace(v.segments[0], file_size_bytes=v.segments[0].file_size_bytes + 1)
+    e.manifest.publish(replace(v, number=v.number + 1, segments=(wrong,)))
+    Engine.open(spark, root)
+    with pytest.raises(Corruption):
+        e.verify()
+
+
+def test_vacuum_spares_snapshots(spark, root):
+    e = Engine.open(spark, root, Options(level0_compaction_trigger=2))
+    for k in "ab":
+        write(e, (k, "1"))
+        e.flush()
+    with e.snapshot() as n:
+        write(e, ("a", None))
+        e.flush()
+        e.compact_until_quiet()
+        Engine.open(spark, root).vacuum()
+        assert shown(e.scan(at=n)) == [("a", "1"), ("b", "1")]
+    e.vacuum()
+    assert len(e.manifest.numbers()) == 1 and shown(e.scan()) == [("b", "1")]
+
+
+def test_equal_order_values_are_numbered_alike(spark, root):
+    rows = [(b"k", 1, str(i).encode(), 0) for i in range(20)]
+    seen = set()
+    for k in range(2):
+        e = Engine.open(spark, f"{root}-{k}")
+        e.apply(spark.createDataFrame(rows[:: 1 - 2 * k], "key binary, type int, value binary, o int").repartition(3), "o")
+        seen.add(tuple(shown(e.scan())))
+    assert seen == {(("k", "9"),)}
+
+
 def test_stream_applies_a_batch_once(spark, root, tmp_path):
     e = Engine.open(spark, root)
     rows = spark.createDataFrame([(b"a", 1, b"1", 0)], "key binary, type int, value binary, o int")
