@@ -188,6 +188,22 @@ def restart_flags(spark, sf_dir):
     return changes.level0(_log(spark, sf_dir)).select("file_number", "key", (place % scalar.RESTART_INTERVAL == 0).alias("restart"))
 
 
+@query(
+    """SELECT file_number, key, shared, substr(key, shared + 1) AS suffix FROM (SELECT file_number, key, CASE WHEN place % 16 = 0 THEN 0 ELSE
+        coalesce(list_reduce(list_prepend(0::BIGINT, range(1, least(strlen(key), strlen(before)) + 1)), lambda a, i: CASE WHEN a = i - 1 AND substr(key, i, 1) = substr(before, i, 1) THEN i ELSE a END), 0) END::INTEGER AS shared
+    FROM (SELECT file_number, key, lag(key) OVER (PARTITION BY file_number ORDER BY key) AS before, row_number() OVER (PARTITION BY file_number ORDER BY key) - 1 AS place FROM l0))""",
+    LOG,
+)
+def prefix_encoding(spark, sf_dir):
+    """Every entry's key as the prefix it shares with the key before it and its suffix; a restart entry is whole."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("file_number").orderBy("key")
+    placed = changes.level0(_log(spark, sf_dir)).select("file_number", "key", F.lag("key").over(own).alias("before"), ((F.row_number().over(own) - 1) % scalar.RESTART_INTERVAL == 0).alias("restart"))
+    shared = F.when(F.col("restart"), 0).otherwise(scalar.shared_prefix(F.col("before"), F.col("key"))).cast("int")
+    return placed.select("file_number", "key", shared.alias("shared")).withColumn("suffix", F.substring("key", F.col("shared") + 1, F.length("key")))
+
+
 @query(
     f"""SELECT DISTINCT (((h + i * (((h >> 17) | ((h << 15) & 4294967295)))) & 4294967295) % m)::BIGINT AS bit
     FROM (SELECT {FNV} AS h FROM winners), (SELECT greatest(64, 10 * count(*))::BIGINT AS n, ((greatest(64, 10 * count(*)) + 7) // 8 * 8)::BIGINT AS m FROM winners), (SELECT unnest(range(0, 7)) AS i)""",
@@ -260,6 +276,15 @@ def read_order(spark, sf_dir):
     return metadata.read_positions(_tables(spark, sf_dir)).select("level", "file_number", "position")
 
 
+@query("SELECT file_number, row_number() OVER (ORDER BY file_number) AS position FROM tables", LOG, SPLIT)
+def manifest_order(spark, sf_dir):
+    """The files in the order of their numbers, as a manifest lists them."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy("file_number"))  # file metadata: one row for each file
+    return _tables(spark, sf_dir).select("file_number", place.cast("bigint").alias("position"))
+
+
 @query("SELECT file_number, key FROM (SELECT file_number, key, seq, lag(key) OVER (PARTITION BY file_number ORDER BY seq) AS before FROM l0) WHERE before >= key", LOG)
 def order_check(spark, sf_dir):
     """Where files would break the key order, had they been written in the order of arrival."""

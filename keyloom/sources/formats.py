@@ -126,6 +126,8 @@ def _compressed(block: bytes) -> Iterator[tuple[bytes, int, bytes]]:
 def table_entries(data: bytes) -> Iterator[dict]:
     """Entries of a sorted table of any version, tombstones included, in key order."""
     magic = data[-8:]
+    if len(data) < {b"STKV0001": 28, b"STKV0004": 56}.get(magic, 36):
+        raise Corruption("the table is shorter than its footer")
     if magic == b"STKV0001":
         entries, size, want = struct.unpack("<QQI", data[-28:-8])
         if checksum(block := data[:size]) != want:
@@ -140,11 +142,14 @@ def table_entries(data: bytes) -> Iterator[dict]:
             f_at, f_size, f_want = struct.unpack("<QQI", data[-28:-8])
             if checksum(data[f_at : f_at + f_size]) != f_want:
                 raise Corruption("the filter's checksum differs")
-        found, r = [], _Reader(index)
+        found, r, begin = [], _Reader(index), 0
         while r.left():
             (n,) = r.numbers("I")
             last = r.take(n)
             offset, length, count = r.numbers("QQQ")
+            if offset != begin or offset + length > at:
+                raise Corruption("blocks do not follow each other")
+            begin += length
             raw = data[offset : offset + length]
             if len(raw) < 4 or checksum(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
                 raise Corruption("a block's checksum differs")

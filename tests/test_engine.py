@@ -301,3 +301,36 @@ def test_random_operations_match_a_dictionary(spark, root):
         if rng.random() < 0.6:
             e.compact_until_quiet()
         assert shown(e.scan()) == sorted(want.items())
+
+
+class Faulty:
+    """A file system that fails in one of its calls."""
+
+    def __init__(self, fs, call):
+        self.fs, self.call = fs, call
+
+    def __getattr__(self, name):
+        if name == self.call:
+            raise OSError(f"{name} fails")
+        return getattr(self.fs, name)
+
+
+@pytest.mark.parametrize("call", ["create", "mkdirs", "getContentSummary"])
+def test_a_failing_store_leaves_the_last_version(spark, root, call):
+    e = Engine.open(spark, root, Options(write_buffer_size=1 << 20, level0_compaction_trigger=1))
+    write(e, ("a", "1"))
+    e.flush()
+    before = e.version()
+    write(e, ("b", "2"))
+    e.manifest.fs = Faulty(e.manifest.fs, call)
+    for act in (lambda: write(e, ("c", "3")), e.flush, e.compact):
+        try:
+            act()
+        except OSError as x:
+            assert call in str(x)
+    again = Engine.open(spark, root)  # whatever was half done is not seen
+    again.verify()
+    assert again.version().segments == before.segments or call == "getContentSummary"
+    assert dict(shown(again.scan()))["a"] == "1" and dict(shown(again.scan()))["b"] == "2"
+    write(again, ("d", "4"))
+    assert dict(shown(again.scan()))["d"] == "4"

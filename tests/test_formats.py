@@ -88,6 +88,9 @@ def test_tables(version):
         formats.table_entries(bytes([data[0] ^ 1]) + data[1:])
     with pytest.raises(Corruption):
         formats.table_entries(sst(ENTRIES[::-1], version))
+    for size in range(len(data) - 8):  # a short file, whatever ends it
+        with pytest.raises(Corruption):
+            formats.table_entries(data[:size] + data[-8:])
 
 
 def test_read_binary(spark, tmp_path):
