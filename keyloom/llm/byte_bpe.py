@@ -7,7 +7,11 @@ the pieces, and ordered aggregation gives the ids of a text and, through the voc
 
 The vocabulary file's path is a parameter and has to be readable by every worker; the merge table is derived from its ranks: a
 pair may merge if the two tokens' bytes together are a token. A worker keeps a bounded dictionary of pieces already encoded.
-Pieces are taken in groups of ``GROUP_BYTES``, so memory follows the longest piece, whose cost grows with the square of its length.
+Pieces are taken in groups of ``GROUP_BYTES``, so memory follows the longest piece.
+
+Contracting a piece costs the square of its length. A piece of more than ``LONG`` bytes is therefore cut into chunks that are contracted
+by the same query and joined: tokens in a row are the encoding of their bytes if every two neighbours are that of theirs (then no merge
+crosses a border), so at each seam the query encodes the tokens on both sides anew, more of them each time, until both ends fit.
 
 Defined results: a null or empty text has no tokens, the digests are those of the empty string; special tokens are ordinary
 text; texts are encoded whole; repeated rows are encoded one by one; null ids are kept; extra columns are ignored.
@@ -29,6 +33,8 @@ from keyloom.llm import kernel
 from keyloom.llm.common import table, workers_find_package
 
 GROUP_BYTES, KEPT = 400_000, 400_000
+#: Bytes from which a piece is cut, and of each chunk; tokens at each side of a seam that are tried first.
+LONG, CHUNK, SEAM = 4096, 1024, 8
 
 #: Rows: piece, pos, tok, npos, ntok (-1 after the last). A pair's key is tok * 2^20 + ntok, a choice is rank * 2^31 + pos.
 CONTRACT = """
@@ -67,6 +73,7 @@ class Codec:
         self._load("merges", pair=np.fromiter(pairs.keys(), np.int64, len(pairs)), id=np.fromiter(pairs.values(), np.int64, len(pairs)))
         self._load("vocabulary", id=np.fromiter(ranks.values(), np.int64, len(ranks)), hex=pa.array([t.hex() for t in ranks], pa.string()))
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.bytes = {n: t for t, n in ranks.items()}
         self.decimal = [str(i) for i in range(max(ranks.values(), default=0) + 1)]
         self._forget()
 
@@ -98,6 +105,54 @@ class Codec:
         self.db.unregister("bytes")
         return np.asarray(got["tok"], np.int64), np.bincount(np.asarray(got["piece"], np.int64), minlength=len(pieces))
 
+    def _each(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each of some short pieces."""
+        out: list[list[int]] = []
+        at = 0
+        while at < len(pieces):
+            to, held = at, 0
+            while to < len(pieces) and (to == at or held + len(pieces[to]) <= GROUP_BYTES):
+                held += len(pieces[to])
+                to += 1
+            ids, sizes = self._contract(pieces[at:to])
+            out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            at = to
+        return out
+
+    def _long(self, piece: bytes) -> np.ndarray:
+        """The ids of a long piece, joined from those of its chunks."""
+        parts = self._each([piece[i : i + CHUNK] for i in range(0, len(piece), CHUNK)])
+        plain = lambda ids: b"".join(self.bytes[i] for i in ids)
+
+        def fits(pairs: list[tuple[int, int]]) -> list[bool]:
+            some = list(dict.fromkeys(pairs))
+            good = {p for p, ids in zip(some, self._each([plain(p) for p in some]), strict=True) if ids == list(p)} if some else set()
+            return [p in good for p in pairs]
+
+        seams: dict[int, tuple[int, list[int]]] = {}  # after part i: tokens taken from each side, and what stands in their place
+        open_ = []
+        for i, good in enumerate(fits([(a[-1], b[0]) for a, b in zip(parts, parts[1:], strict=False)])):
+            if good:
+                seams[i] = (0, [])
+            else:
+                open_.append(i)
+        k = SEAM
+        while open_:
+            if any(2 * k + 2 > min(len(parts[i]), len(parts[i + 1])) for i in open_):
+                return self._contract([piece])[0]  # the seams reach across whole chunks
+            tried = self._each([plain(parts[i][-k:] + parts[i + 1][:k]) for i in open_])
+            ends = fits([p for i, x in zip(open_, tried, strict=True) for p in ((parts[i][-k - 1], x[0]), (x[-1], parts[i + 1][k]))])
+            for i, x, left, right in zip(open_, tried, ends[::2], ends[1::2], strict=True):
+                if left and right:
+                    seams[i] = (k, x)
+            open_ = [i for i in open_ if i not in seams]
+            k *= 2
+        out: list[int] = []
+        for i, ids in enumerate(parts):
+            first, last = (seams[i - 1][0] if i else 0), (seams[i][0] if i in seams else 0)
+            out += ids[first : len(ids) - last] + (seams[i][1] if i in seams else [])
+        return np.array(out, np.int64)
+
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and n + 1 offsets."""
         if len(self.known) > KEPT:
@@ -114,10 +169,14 @@ class Codec:
         at = 0
         while at < len(fresh):
             to, held = at, 0
-            while to < len(fresh) and (to == at or held + len(fresh[to]) <= GROUP_BYTES):
+            while to < len(fresh) and len(fresh[to]) <= LONG and (to == at or held + len(fresh[to]) <= GROUP_BYTES):
                 held += len(fresh[to])
                 to += 1
-            ids, sizes = self._contract(fresh[at:to])
+            if to == at:
+                ids = self._long(fresh[at])
+                sizes, to = np.array([len(ids)]), at + 1
+            else:
+                ids, sizes = self._contract(fresh[at:to])
             self.ids.append(ids)
             self.sizes.append(sizes)
             at = to
@@ -176,7 +235,7 @@ def digest(docs: DataFrame, path: str, pattern: str, keep: str = "doc_id") -> Da
             n, ids, data = zip(*own.digests(*own.tokens(_texts(b))), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], [keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: str = "doc_id") -> DataFrame:
@@ -190,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: str = "doc_id") -> Da
             ids, offsets = own.tokens(_texts(b))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], [keep, "ids"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, ids array<int>")
+    return docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: str = "doc_id") -> DataFrame:
@@ -206,7 +265,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: str = "doc_id") ->
             data = own.decode(np.array([i for x in lists for i in x], np.int64), offsets.astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array([x.decode("utf-8", "replace") for x in data], pa.string())], [keep, "text"])
 
-    return encoded.select(keep, "ids").mapInArrow(run, f"`{keep}` {kind}, text string")
+    return encoded.select(keep, "ids").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, text string")
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:

@@ -6,8 +6,10 @@ every operator selects the columns it needs first, so extra or clashing columns
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder under the SQL warehouse is set instead.
+    Only in local mode, where that is unset (tests, a laptop), a folder under the SQL warehouse is set instead.
     """
     sc = spark.sparkContext
     if (have := sc._jsc.sc().getCheckpointDir()).isDefined():
         return have.get()
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    conf = conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -43,6 +48,19 @@ def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action go when it ends, not when the driver collects its garbage: several passes over the corpus
+    then need the disk of one. An action that is run again makes its shuffle again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII strings take the byte-wise fast path of ``lower``."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
