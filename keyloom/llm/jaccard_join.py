@@ -11,9 +11,12 @@ Distribution. An R-tree over all documents would be one task, so trees are built
    n - ceil(0.8 n) + 1 of each. The order is by hash, except that shingles frequent in hash-order prefixes (over ``FREQUENT``
    documents) come last. Frequencies and shared shingles are counted over all documents in blobs of packed hashes.
 3. Documents that share a prefix shingle are candidates. Up to ``FREQUENT`` documents, all their pairs are, if their sizes and
-   count vectors allow 80 %; more documents are tied to the first of them without a test. Nothing is dropped.
-4. Components of the candidate pairs are the blocks: no link leaves one. A block of up to ``BLOCK`` documents is one task's
-   R-tree; a larger one is dealt into parts, and each pair of parts is a task.
+   count vectors allow 80 %; more documents, all of them but 80 % frequent shingles, are sorted by size, cut where one size is below
+   80 % of the next, and tied to the first of their run without a test. Nothing is dropped.
+4. Components of the candidate pairs are the blocks: no link leaves one. A block of up to ``BLOCK`` documents and
+   ``BLOCK_SHINGLES`` shingles is one task's R-tree; a larger one is dealt into so many parts, and each pair of parts is a task, so
+   that no task grows with a group. The price is that a document of a block of k parts is sent k times: every link of a group is
+   verified and counted, and a group of n different texts may have n * n / 2 of them.
 5. Every pair of different sets that passes the bound is verified. Tasks emit a spanning forest of the links and, for every set,
    the number of documents it is linked with, never the pairs; components of the forest are the groups.
 
@@ -21,13 +24,13 @@ Hash arrays that workers probe (ids of representatives, frequent and shared shin
 mapped into memory; nothing of the size of the corpus is broadcast or brought to the driver.
 
 Shingles are compared by 64-bit hashes. Defined results: a text without words, empty or null has no shingles and is linked
-with nothing; one of fewer words than a shingle has one, the whole sequence; rows that share a doc_id are one node; a null
-doc_id is linked with nothing, its component_id is null and its n_links 0; an empty table gives an empty table; extra columns are ignored.
+with nothing; one of fewer words than a shingle has one, the whole sequence; a null doc_id is linked with nothing, its component_id is
+null and its n_links 0; rows that share a doc_id are one node, linked with whatever one of their texts is linked with (n_links then
+counts links of texts); a doc_id that is not an integer is an error; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -38,12 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import kernel
-from keyloom.llm.common import shared_dir, stored, table, workers_find_package
+from keyloom.llm.common import shared_dir, shuffles_removed, stored, table, workers_find_package
 from keyloom.llm.kernel import U64
 from keyloom.llm.language_model import _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked
 
 WIDTH, PERCENT = 5, 80
-FREQUENT, BLOCK, LEAF = 8, 4096, 64
+FREQUENT, LEAF = 8, 64
+#: Documents and shingles of a block that is not dealt into parts.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 GATHER = 2_000_000
 
 
@@ -183,10 +188,23 @@ def links(own: list[np.ndarray], first: int | None = None, copies: np.ndarray |
 
 
 class _Files:
-    """Sorted hash arrays of one kind in the shared folder, cut by ranges of the hash."""
+    """Sorted hash arrays of one kind in the shared folder, cut by ranges of the hash. A file that was written and is gone is an error."""
 
     def __init__(self, path: str, parts: int):
         self.path, self.parts = path, parts
+        self.written = np.zeros(parts, bool)
+
+    def take(self, sent: DataFrame, merge) -> _Files:
+        """Write the files from blobs: ``merge`` turns the rows of a part into its arrays."""
+
+        def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _by_part(batches):
+                _save(f"{self.path}-{part:06d}", **merge(rows))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
+
+        done = sent.repartitionById(self.parts, "part").sortWithinPartitions("part").mapInArrow(kernel.trimmed(into), "part int").collect()  # a number for each part
+        self.written[[r["part"] for r in done]] = True
+        return self
 
     def find(self, h: np.ndarray, column: str | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is there, and the column beside it."""
@@ -194,9 +212,7 @@ class _Files:
         ordered = h[order]
         cuts = _cuts(ordered, self.parts)
         there, value = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            if not os.path.exists(f"{self.path}-{p:06d}.keys.npy"):
-                continue
+        for p in np.flatnonzero((np.diff(cuts) > 0) & self.written).tolist():
             keys = _mapped(f"{self.path}-{p:06d}.keys.npy")
             if not len(keys):
                 continue
@@ -230,18 +246,13 @@ def _files(df: DataFrame, parts: int, label: str, columns: tuple[str, ...] = ())
                 order = np.argsort(h)
                 yield from _blobs(h[order], [np.asarray(b.column(c).cast(pa.int64()))[order] for c in columns], parts)
 
-    def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            order = np.argsort(keys)
-            values = {c: np.concatenate([np.frombuffer(r[f"v{i}"], np.int64) for r in rows])[order] for i, c in enumerate(columns)}
-            _save(f"{files.path}-{part:06d}", **values, keys=keys[order])
-            yield pa.RecordBatch.from_pydict({"n": [len(keys)]})
+    def merge(rows: list[dict]) -> dict[str, np.ndarray]:
+        keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
+        order = np.argsort(keys)
+        return {c: np.concatenate([np.frombuffer(r[f"v{i}"], np.int64) for r in rows])[order] for i, c in enumerate(columns)} | {"keys": keys[order]}
 
     blobs = "part int, keys binary" + "".join(f", v{i} binary" for i in range(len(columns)))
-    sent = df.select("doc_id", *columns).mapInArrow(out, blobs)
-    sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
-    return files
+    return files.take(df.select("doc_id", *columns).mapInArrow(kernel.trimmed(out), blobs), merge)
 
 
 def _prefixes(docs: DataFrame, reps: _Files, frequent: _Files | None, emit, schema: str) -> DataFrame:
@@ -270,7 +281,7 @@ def _prefixes(docs: DataFrame, reps: _Files, frequent: _Files | None, emit, sche
         if held:
             yield from emit(*zip(*held, strict=True))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(kernel.trimmed(run), schema)
 
 
 def _counted(docs: DataFrame, reps: _Files, frequent: _Files | None, parts: int, over: int, label: str) -> _Files:
@@ -281,17 +292,13 @@ def _counted(docs: DataFrame, reps: _Files, frequent: _Files | None, parts: int,
         keys, c = np.unique(np.concatenate(prefixes), return_counts=True)
         return _blobs(keys, [np.minimum(c, over + 1).astype(np.uint8)], parts)
 
-    def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            c = np.concatenate([np.frombuffer(r["v0"], np.uint8) for r in rows]).astype(np.int64)
-            order, first = _grouped(keys)
-            _save(f"{files.path}-{part:06d}", keys=keys[order][first][np.add.reduceat(c[order], first) > over])
-            yield pa.RecordBatch.from_pydict({"n": [len(first)]})
+    def merge(rows: list[dict]) -> dict[str, np.ndarray]:
+        keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
+        c = np.concatenate([np.frombuffer(r["v0"], np.uint8) for r in rows]).astype(np.int64)
+        order, first = _grouped(keys)
+        return {"keys": keys[order][first][np.add.reduceat(c[order], first) > over]}
 
-    sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary")
-    sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "n bigint").agg(F.sum("n")).collect()
-    return files
+    return files.take(_prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary"), merge)
 
 
 def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files, parts: int) -> DataFrame:
@@ -311,7 +318,7 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
             keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
             doc = np.concatenate([np.frombuffer(r["v0"], np.int64) for r in rows])
             size = np.concatenate([np.frombuffer(r["v1"], np.int32) for r in rows]).astype(np.int64)
-            order = np.lexsort((doc, keys))
+            order = np.lexsort((doc, size, keys))
             keys, doc, size = keys[order], doc[order], size[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.concatenate([first, [len(keys)]]))
@@ -324,14 +331,16 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
                 i = i[100 * small >= PERCENT * large]
                 pairs.append(np.stack([doc[i], doc[i + step]]))
             tested = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            i = np.flatnonzero(~few & (place > 0))
-            star = np.unique(np.stack([np.repeat(doc[first], count)[i], doc[i]]), axis=1)
+            run = np.concatenate([[True], (keys[1:] != keys[:-1]) | (100 * size[:-1] < PERCENT * size[1:])])  # no link crosses such a gap of sizes
+            head = np.flatnonzero(run)[np.cumsum(run) - 1]
+            i = np.flatnonzero(~few & ~run)
+            star = np.unique(np.stack([doc[head[i]], doc[i]]), axis=1)
             a, b = np.concatenate([tested, star], axis=1)
             flag = np.concatenate([np.ones(tested.shape[1], bool), np.zeros(star.shape[1], bool)])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], ["a", "b", "tested"])
 
     sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary, v1 binary")
-    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(into, "a bigint, b bigint, tested boolean").where("a <> b")
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(kernel.trimmed(into), "a bigint, b bigint, tested boolean").where("a <> b")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +377,7 @@ def components(edges: DataFrame, label: str = "components", most: int = 60) -> D
 
 def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
     """(a, b, n): a spanning forest of the verified links inside every block, and with a null ``b`` numbers of documents that ``a`` is linked with."""
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("k")).withColumn("k", F.ceil(F.col("k") / BLOCK))
+    sizes = blocks.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"))
     known = _files(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "k", "copies"), parts, "jaccard-blocks", ("component", "k", "copies"))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +402,7 @@ def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            rows = list({r[:2]: r for r in rows}.values())
+            rows = list({(*r[:2], r[3]): r for r in rows}.values())  # repeated rows
             first = sum(r[0] == 0 for r in rows) if key[1] != key[2] else None
             own = [np.frombuffer(r[3], U64) for r in rows]
             copies = np.array([[r[2] for r in rows], [0] * len(rows)], np.int64)
@@ -414,13 +423,18 @@ def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
         if rows:
             yield done(at, rows)
 
-    sent = docs.select("doc_id", "text").mapInArrow(out, "component bigint, lo int, hi int, side int, doc_id bigint, copies bigint, shingles binary")
-    return sent.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side").mapInArrow(solve, "a bigint, b bigint, n bigint")
+    sent = docs.select("doc_id", "text").mapInArrow(kernel.trimmed(out), "component bigint, lo int, hi int, side int, doc_id bigint, copies bigint, shingles binary")
+    return sent.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side").mapInArrow(kernel.trimmed(solve), "a bigint, b bigint, n bigint")
 
 
 def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, and n_links, the number of other documents that the document is linked with, of every row."""
-    spark = workers_find_package(docs.sparkSession)
+    with shuffles_removed(workers_find_package(docs.sparkSession)):
+        return _groups(docs, parts)
+
+
+def _groups(docs: DataFrame, parts: int | None) -> DataFrame:
+    spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
@@ -434,22 +448,22 @@ def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 ["doc_id", "n", "s1", "s2", "v"],
             )
 
-    measured = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, s1 bigint, s2 bigint, v binary"), "jaccard-measured")
+    measured = stored(docs.mapInArrow(kernel.trimmed(measure), "doc_id bigint, n bigint, s1 bigint, s2 bigint, v binary"), "jaccard-measured")
     same = measured.where("n > 0 AND doc_id IS NOT NULL").select("n", "s1", "s2", "doc_id").distinct().groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     same = stored(same, "jaccard-same")
     reps = _files(same.select(F.col("rep").alias("doc_id")).distinct(), parts, "jaccard-reps")
     frequent = _counted(docs, reps, None, parts, FREQUENT, "jaccard-frequent")
     shared = _counted(docs, reps, frequent, parts, 1, "jaccard-shared")
     pairs = stored(_candidates(docs, reps, frequent, shared, parts).distinct(), "jaccard-candidates")
-    point = measured.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.struct("n", "v")).alias("p")).select("doc_id", "p.n", "p.v")
+    point = measured.where("doc_id IS NOT NULL").select("doc_id", "n", "v")
     wanted = pairs.where("tested").select("a", "b")
     some = point.join(wanted.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    some = stored(some, "jaccard-points")
+    some = stored(some.distinct(), "jaccard-points")
     left = some.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
     right = some.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    passed = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_passing, "a bigint, b bigint")
+    passed = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(kernel.trimmed(_passing), "a bigint, b bigint")
     blocks = stored(components(passed.unionByName(pairs.where("NOT tested").select("a", "b")), "jaccard-blocks"), "jaccard-blocks")
-    copies = same.groupBy("rep").agg(F.max("copies").alias("copies")).withColumnRenamed("rep", "node")
+    copies = same.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("n").alias("n")).withColumnRenamed("rep", "node")
     found = stored(_verified(docs, blocks.join(copies, "node"), parts), "jaccard-links")
     groups = components(found.where("b IS NOT NULL"), "jaccard-groups").withColumnRenamed("node", "rep")
     linked = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
@@ -461,10 +475,6 @@ def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(table(spark, sf_dir, "documents")).drop("n_links")  # the columns of SQL
-
-
-def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
@@ -476,5 +486,5 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id, (SELECT count(*) FROM e WHERE e.x = w.doc_id)::BIGINT AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n"""
