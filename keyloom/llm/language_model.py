@@ -1,25 +1,28 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark over all training documents.
 
-The model is two sets of sorted hash arrays in the shared folder, cut by ranges of the hash into ``parts`` files each, which
+The model is a table of sorted hashes for each order, cut by ranges of the hash into ``parts`` files each in the shared folder, which
 workers map into memory, so neither driver nor workers hold the model:
 
-* pairs: 64-bit hash of (word, next word) and its count. Map tasks send, for each part, one blob of sorted distinct hashes
-  and counts (seven bytes a pair); a reduce task merges the blobs of a part and writes its file.
-* words: hash, count, number of distinct left neighbours, and the discounted mass D1 N1 + D2 N2 + D3 N3 of the word as a
-  context. They come from a second pass that looks every pair up: each of a pair's ``c`` occurrences adds 1/c to a number of
-  distinct pairs, so no pair has to carry its words through a shuffle, and hot words meet as sums of one row per map task.
+* n-grams of the highest order: a 56-bit hash and the count. Map tasks send, for each part, blobs of sorted distinct hashes (five bytes
+  each; those counted once apart from the others, which carry a 64-bit count), a reduce task merges the blobs of a part.
+* with order 3, pairs: hash, count, number of distinct left neighbours, and the discounted mass D1 N1 + D2 N2 + D3 N3 of the pair as a
+  context. They come from a second pass that looks every triple up: each of a triple's ``c`` occurrences adds 1/c to a number of
+  distinct triples, so no triple has to carry its pairs through a shuffle. A pair that occurs once in a map task's share is sent with
+  two small counts, any other with its sums.
+* words: the same over pairs, from a last pass; hot words meet as sums of one row per map task.
 
-With order 3 a table of triples stands where the pairs stood, and the pairs become a middle table like that of the words: hash,
-count, number of distinct left neighbours, and the discounted mass of the pair as a context, from one more pass. The lower orders
-count distinct left neighbours; two start tokens stand before a text.
+The lower orders count distinct left neighbours; start tokens stand before a text. A file has the low bytes of the hashes, an index over
+their leading bits, and values only for n-grams that are not ``plain``: seen once, with one left neighbour, and as a context followed by
+one word once. Shuffle files go when their pass ends.
 
-Hash parts balance whatever the words are. Files are written under a temporary name and renamed, so a task may run again.
-Memory mapping needs the shared folder as a mounted path; another kind of store is refused with a message.
+Hash parts balance whatever the words are. Files are written under a temporary name and renamed, so a task may run again; a file that
+was written and is gone is an error. Memory mapping needs the shared folder as a mounted path; another kind of store is refused.
 
 Scores are log10. A text is its words and one end token; the first word's context is a start token.
 
-Defined results: a null or empty text is the end token alone; repeated rows count as often as they occur; without training
-documents every token has probability 1 / (V + 1) = 1; null ids are scored like others; extra columns are ignored.
+Defined results: a null or empty text is the end token alone; texts are counted and scored whole, however long; repeated rows count as
+often as they occur; without training documents every token has probability 1 / (V + 1) = 1; null ids are scored like others; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import kernel
-from keyloom.llm.common import shared_dir, table, workers_find_package
+from keyloom.llm.common import shared_dir, shuffles_removed, table, workers_find_package
 from keyloom.llm.kernel import U64
 
-START, END = U64(0x5354415254), U64(0x454E44)
+#: Words and n-grams are told apart by the leading 56 bits of their hash.
+_LEADING = ~U64(255)
+START, END = U64(0x535441525400), U64(0x454E4400)
 #: The order of the model in production.
 ORDER = 3
 #: Tokens gathered before a map task sends its blobs, and bytes of text scored at once.
@@ -65,7 +70,7 @@ def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word[last] = END
     inner = np.ones(len(word), bool)
     inner[last] = False
-    word[inner] = kernel.hashes(data, starts, ends)
+    word[inner] = kernel.hashes(data, starts, ends) & _LEADING
     before = np.empty(len(word), U64)
     before[1:] = word[:-1]
     before[out[:-1]] = START
@@ -74,7 +79,7 @@ def _sequences(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return kernel.mix(kernel.mix(before + U64(0x9E3779B97F4A7C15)) ^ word)
+        return kernel.mix(kernel.mix(before + U64(0x9E3779B97F4A7C15)) ^ word) & _LEADING
 
 
 def _second(before: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -94,25 +99,30 @@ def _first(part: int | np.ndarray, parts: int):
     return (-(-(np.asarray(part, dtype=object) << 32) // parts)) << 32
 
 
+@functools.lru_cache(maxsize=16)
+def _bounds(parts: int) -> np.ndarray:
+    return np.array([int(x) for x in _first(np.arange(parts), parts)], U64)
+
+
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins among ascending ``keys``, and their end."""
-    bounds = np.array([int(x) for x in _first(np.arange(parts), parts)], U64)
-    return np.concatenate([np.searchsorted(keys, bounds), [len(keys)]])
+    return np.concatenate([np.searchsorted(keys, _bounds(parts)), [len(keys)]])
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Ascending hashes in six bytes each: the two leading bytes are kept as run lengths."""
+    """Ascending hashes in six bytes each, or five if the lowest byte is 0 in all: the two leading bytes are kept as run lengths."""
     lead, runs = np.unique((keys >> U64(48)).astype(np.uint16), return_counts=True)
-    low = np.ascontiguousarray(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6])
-    return np.array([len(lead), len(keys)], np.int64).tobytes() + lead.tobytes() + runs.astype(np.int32).tobytes() + low.tobytes()
+    spare = 0 if (keys & U64(255)).any() else 1
+    low = np.ascontiguousarray(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, spare:6])
+    return np.array([len(lead), len(keys), spare], np.int64).tobytes() + lead.tobytes() + runs.astype(np.int32).tobytes() + low.tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    n_lead, n = np.frombuffer(blob, np.int64, 2)
-    lead = np.frombuffer(blob, np.uint16, n_lead, 16)
-    runs = np.frombuffer(blob, np.int32, n_lead, 16 + 2 * n_lead)
+    n_lead, n, spare = np.frombuffer(blob, np.int64, 3)
+    lead = np.frombuffer(blob, np.uint16, n_lead, 24)
+    runs = np.frombuffer(blob, np.int32, n_lead, 24 + 2 * n_lead)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 16 + 6 * n_lead).reshape(-1, 6)
+    out[:, spare:6] = np.frombuffer(blob, np.uint8, (6 - spare) * n, 24 + 6 * n_lead).reshape(-1, 6 - spare)
     return out.reshape(-1).view(U64) | (np.repeat(lead, runs).astype(U64) << U64(48))
 
 
@@ -126,7 +136,10 @@ def _save(path: str, **arrays: np.ndarray) -> None:
 
 @functools.lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
+    return np.asarray(np.load(path, mmap_mode="r"))
+
+
+kernel.FORGET.append(_mapped.cache_clear)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +149,45 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
+def _store(base: str, keys: np.ndarray, lead_from: int, parts: int, plain: np.ndarray, **columns: np.ndarray) -> None:
+    """The file of one part: low bytes of ascending ``keys``, an index over some leading bits, a bitmap of the rows that are not plain,
+    and the columns of those."""
+    bits = int(min(40, max(4, np.round(np.log2(len(keys) * parts / 16))))) if len(keys) else 4
+    shift = U64(64 - bits)
+    first = lead_from >> int(shift)
+    lead = (keys >> shift).astype(np.int64) - first
+    index = np.searchsorted(lead, np.arange(int(lead[-1]) + 2 if len(lead) else 1))
+    low = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 1 : 8 - bits // 8]
+    rich = np.zeros(-(-len(keys) // 64) * 64, bool)
+    rich[: len(keys)] = ~plain
+    words = np.packbits(rich, bitorder="little").view(U64)
+    rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+    narrow = lambda v: v.astype(np.uint32) if not len(v) or 0 <= v.min() and v.max() < 2**32 else v
+    kept = {c: v[~plain] if v.dtype.kind == "f" else narrow(v[~plain]) for c, v in columns.items()}
+    _save(base, **kept, low=np.ascontiguousarray(low), index=narrow(np.concatenate([[bits, first], index])), rich=words, rank=narrow(rank))
+
+
+def _sought(base: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the hashes ``q`` those (as places in ``q``) that the file has, and their rows."""
+    low, index = _mapped(f"{base}.low.npy"), _mapped(f"{base}.index.npy")
+    bits, first = int(index[0]), int(index[1])
+    lead = (q >> U64(64 - bits)).astype(np.int64) - first
+    own = np.flatnonzero(lead < len(index) - 3)
+    lo, hi = index[lead[own] + 2].astype(np.int64), index[lead[own] + 3].astype(np.int64)
+    width = low.shape[1]
+    wanted = (q[own] >> U64(8)) & U64((1 << (8 * width)) - 1)
+    end = hi.copy()
+    value = np.zeros((len(own), 8), np.uint8)
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = np.minimum((lo + hi) >> 1, len(low) - 1)
+        value[:, :width] = low[mid]
+        less = (value.reshape(-1).view(U64) < wanted) & (lo < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
+    value[:, :width] = low[np.minimum(lo, len(low) - 1)] if len(low) else 0
+    hit = np.flatnonzero((lo < end) & (value.reshape(-1).view(U64) == wanted))
+    return own[hit], lo[hit]
+
+
 @dataclass
 class Model:
     path: str
@@ -148,6 +200,21 @@ class Model:
     word_kinds: list[int] = field(default_factory=lambda: [0] * 4)
     order: int = 2
     triple_discounts: list[float] = field(default_factory=lambda: [0.0] * 4)
+    #: The parts that have a file, by table.
+    written: dict[str, list[int]] = field(default_factory=dict)
+
+    def file(self, kind: str, part: int) -> str:
+        return f"{self.path}/{kind}-{part:06d}"
+
+    def _plain(self, kind: str, column: str) -> float:
+        """What a plain row has: once, one left neighbour, and as a context one follower once."""
+        return {"pairs": self.triple_discounts, "words": self.pair_discounts}[kind][1] if column == "mass" else 1
+
+    def store(self, kind: str, part: int, keys: np.ndarray, **columns: np.ndarray) -> None:
+        plain = np.ones(len(keys), bool)
+        for c, v in columns.items():
+            plain &= np.abs(v - self._plain(kind, c)) < 1e-9
+        _store(self.file(kind, part), keys, int(_bounds(self.parts)[part]), self.parts, plain, **columns)
 
     def _lookup(self, kind: str, h: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """The columns beside each hash, 0 where it is unknown."""
@@ -155,25 +222,27 @@ class Model:
         ordered = h[order]
         cuts = _cuts(ordered, self.parts)
         out = [np.zeros(len(h), np.float64 if c == "mass" else np.int64) for c in columns]
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            base = f"{self.path}/{kind}-{p:06d}"
-            if not os.path.exists(f"{base}.keys.npy"):
-                continue
-            keys = _mapped(f"{base}.keys.npy")
-            q = ordered[cuts[p] : cuts[p + 1]]
-            at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == q)
-            to = order[cuts[p] + hit]
+        there = np.zeros(self.parts, bool)
+        there[self.written.get(kind, [])] = True
+        for p in np.flatnonzero((np.diff(cuts) > 0) & there).tolist():
+            base = self.file(kind, p)
+            found, at = _sought(base, ordered[cuts[p] : cuts[p + 1]])
+            to = order[cuts[p] + found]
             for o, c in zip(out, columns, strict=True):
-                o[to] = _mapped(f"{base}.{c}.npy")[at[hit]]
-                if c == "small" and len(big := np.flatnonzero(o[to] == 255)):  # larger counts are kept apart
-                    place = _mapped(f"{base}.bigat.npy")
-                    o[to[big]] = _mapped(f"{base}.big.npy")[np.searchsorted(place, at[hit][big])]
+                o[to] = self._plain(kind, c)
+            word = _mapped(f"{base}.rich.npy")[at >> 6]
+            bit = (at & 63).astype(U64)
+            some = np.flatnonzero((word >> bit) & U64(1))
+            if len(some):
+                below = word[some] & ((U64(1) << bit[some]) - U64(1))
+                row = _mapped(f"{base}.rank.npy")[at[some] >> 6].astype(np.int64) + np.bitwise_count(below)
+                for o, c in zip(out, columns, strict=True):
+                    o[to[some]] = _mapped(f"{base}.{c}.npy")[row]
         return out
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Counts of n-grams of the highest order."""
-        return self._lookup("pairs" if self.order == 2 else "triples", grams, ("small",))[0]
+        return self._lookup("pairs" if self.order == 2 else "triples", grams, ("count",))[0]
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         word, before, docs = _sequences(texts)
@@ -213,13 +282,14 @@ def _discounts(kinds: list[int]) -> list[float]:
     return [0.0, *[min(max(d, 0.05), k) for d, k in zip(raw, (0.95, 1.9, 2.9), strict=True)]]
 
 
-def _blobs(keys: np.ndarray, values: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """One row for each part of ascending ``keys``: part, packed keys, and each value column's bytes."""
+def _blobs(keys: np.ndarray, values: list[np.ndarray], parts: int, columns: int | None = None) -> Iterator[pa.RecordBatch]:
+    """One row for each part of ascending ``keys``: part, packed keys, and each value column's bytes (null beyond ``values``)."""
     cuts = _cuts(keys, parts)
     some = np.flatnonzero(np.diff(cuts)).tolist()
     cols = [pa.array(some, pa.int32()), pa.array([_packed(keys[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())]
     cols += [pa.array([v[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for v in values]
-    yield pa.RecordBatch.from_arrays(cols, ["part", "keys", *[f"v{i}" for i in range(len(values))]])
+    cols += [pa.nulls(len(some), pa.binary())] * ((columns or len(values)) - len(values))
+    yield pa.RecordBatch.from_arrays(cols, ["part", "keys", *[f"v{i}" for i in range(len(cols) - 2)]])
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -244,20 +314,20 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(f"{_mounted(shared_dir(spark))}/language-model-{uuid.uuid4().hex}", parts, order=order)
     os.makedirs(model.path, exist_ok=True)
-    text = docs.select("text")
+    with shuffles_removed(spark):
+        return _train(docs.select("text"), model)
+
 
-    def pairs_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train(text: DataFrame, model: Model) -> Model:
+    parts, order = model.parts, model.order
+
+    def grams_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
             keys, c = np.unique(np.concatenate(held), return_counts=True)
-            small = np.minimum(c, 255).astype(np.uint8)
-            # A count over 254 is sent as repeated rows' worth of 254s: keys may occur again in later blobs.
-            while len(keys):
-                yield from _blobs(keys, [np.minimum(small, 254)], parts)
-                rest = c > 254
-                keys, c = keys[rest], c[rest] - 254
-                small = np.minimum(c, 255).astype(np.uint8)
+            yield from _blobs(keys[c == 1], [], parts, 1)
+            yield from _blobs(keys[c > 1], [c[c > 1].astype(np.int64)], parts)
 
         for b in kernel.slices(batches):
             held.append(_gram(*_sequences(b.column("text")), order))
@@ -268,22 +338,26 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
         if held:
             yield from send()
 
-    def pairs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            counts = np.concatenate([np.frombuffer(r["v0"], np.uint8) for r in rows]).astype(np.int64)
-            sort, first = _grouped(keys)
-            keys, counts = keys[sort][first], np.add.reduceat(counts[sort], first)
-            big = np.flatnonzero(counts >= 255)
-            _save(f"{model.path}/{'pairs' if order == 2 else 'triples'}-{part:06d}", small=np.minimum(counts, 255).astype(np.uint8), bigat=big, big=counts[big], keys=keys)
-            yield pa.RecordBatch.from_pylist([{"part": part, "n": len(keys), "tokens": int(counts.sum()), "kinds": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}])
-
-    stats = "part bigint, n bigint, tokens bigint, kinds array<bigint>"
-
-    def reduced(sent: DataFrame, merge) -> list:
-        return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(merge, stats).collect()
-
-    done = reduced(text.mapInArrow(pairs_out, "part int, keys binary, v0 binary"), pairs_in)
+    def grams_in(part: int, rows: list[dict]) -> dict:
+        keys = [_unpacked(r["keys"]) for r in rows]
+        counts = np.concatenate([np.ones(len(k), np.int64) if r["v0"] is None else np.frombuffer(r["v0"], np.int64) for k, r in zip(keys, rows, strict=True)])
+        keys = np.concatenate(keys)
+        sort, first = _grouped(keys)
+        keys, counts = keys[sort][first], np.add.reduceat(counts[sort], first)
+        model.store("pairs" if order == 2 else "triples", part, keys, count=counts)
+        return {"n": len(keys), "tokens": int(counts.sum()), "kinds": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
+
+    def reduced(kind: str, out, columns: int, merge) -> list:
+        def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _by_part(batches):
+                yield pa.RecordBatch.from_pylist([{"part": part, **merge(part, rows)}])
+
+        sent = text.mapInArrow(kernel.trimmed(out), "part int, keys binary" + "".join(f", v{i} binary" for i in range(columns)))
+        done = sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(kernel.trimmed(into), "part bigint, n bigint, tokens bigint, kinds array<bigint>").collect()
+        model.written[kind] = [r["part"] for r in done]
+        return done
+
+    done = reduced("pairs" if order == 2 else "triples", grams_out, 1, grams_in)
     model.tokens = sum(r["tokens"] for r in done)
     discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
 
@@ -291,45 +365,59 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, count, left, mass = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, right, follow = (np.concatenate(x) for x in zip(*held, strict=True))
             sort, first = _grouped(keys)
-            total = [np.add.reduceat(v[sort], first) for v in (count, left, mass)]
-            return _blobs(keys[sort][first], [total[0].astype(np.int32), *total[1:]], parts)
+            keys, right, follow = keys[sort], right[sort], follow[sort]
+            once = np.diff(np.concatenate([first, [len(keys)]])) == 1
+            once &= (right[first] < 256) & (follow[first] < 256)
+            at = first[once]
+            yield from _blobs(keys[at], [right[at].astype(np.uint8), follow[at].astype(np.uint8)], parts, 3)
+            share = lambda c, d: np.where(c > 0, d / np.maximum(c, 1), 0.0)
+            sums = [np.add.reduceat(v, first)[~once] for v in (np.ones(len(keys), np.int64), share(right, 1.0), share(follow, np.array(model.triple_discounts)[np.minimum(follow, 3)]))]
+            yield from _blobs(keys[first[~once]], sums, parts)
 
         for b in kernel.slices(batches, limit=SCORE_BYTES):
             word, before, at = _sequences(b.column("text"))
             if not len(word):
                 continue
-            second = _second(before, at)
             c = model.counts(_gram(word, before, at, 3))
-            zero, begins = np.zeros(len(word)), (second == START) & (before == START)
-            keys = np.concatenate([_pair(before, word), _pair(second, before)])
-            sort, first = _grouped(keys)
-            lost = np.array(model.triple_discounts)[np.minimum(c, 3)] / c
-            # A pair is a context as often as it occurs, except that of the start tokens, which only is a context.
-            columns = [np.concatenate([zero + 1, begins.astype(float)]), np.concatenate([1.0 / c, zero]), np.concatenate([zero, lost])]
-            held.append((keys[sort][first], *[np.add.reduceat(v[sort], first) for v in columns]))
-            n += len(first)
-            if n >= GATHER // 3:
+            # A text's pairs: that of the start tokens, which only is a context, and one for each token. The triple that ends with a pair
+            # counts its left neighbour; the triple after it counts it as a context (none follows the last pair, whose 1 is never read).
+            places = np.arange(len(word)) + np.repeat(np.arange(1, len(at)), np.diff(at))
+            keys, right, follow = (np.empty(len(word) + len(at) - 1, t) for t in (U64, np.int64, np.int64))
+            begins = at[:-1] + np.arange(len(at) - 1)
+            keys[places], right[places] = _pair(before, word), c
+            keys[begins], right[begins] = _pair(np.array([START]), np.array([START])), 0
+            follow[places - 1], follow[at[1:] + np.arange(len(at) - 1)] = c, 1
+            held.append((keys, right, follow))
+            n += len(keys)
+            if n >= GATHER // 2:
                 yield from send()
                 held, n = [], 0
         if held:
             yield from send()
 
-    def middle_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            sort, first = _grouped(keys)
-            count, left, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"], t) for r in rows])[sort].astype(float), first) for i, t in enumerate((np.int32, float, float)))
-            whole = [np.rint(v).astype(np.int64) for v in (count, left)]
-            small = [v.astype(np.int32) if v.max() < 2**31 else v for v in whole]
-            _save(f"{model.path}/pairs-{part:06d}", count=small[0], left=small[1], mass=mass, keys=keys[sort][first])
-            n = whole[1][whole[1] > 0]  # the pair of start tokens is a context only
-            yield pa.RecordBatch.from_pylist([{"part": part, "n": len(n), "tokens": int(whole[0].sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}])
+    def middle_in(part: int, rows: list[dict]) -> dict:
+        discount = np.array(model.triple_discounts)
+        keys, columns = [], []
+        for r in rows:
+            keys.append(_unpacked(r["keys"]))
+            if r["v2"] is None:  # one occurrence: the counts of the triples that end with it and follow it
+                right, follow = (np.frombuffer(r[v], np.uint8).astype(np.int64) for v in ("v0", "v1"))
+                columns.append((np.ones(len(right)), np.where(right > 0, 1.0 / np.maximum(right, 1), 0.0), discount[np.minimum(follow, 3)] / follow))
+            else:
+                columns.append((np.frombuffer(r["v0"], np.int64).astype(float), np.frombuffer(r["v1"]), np.frombuffer(r["v2"])))
+        keys = np.concatenate(keys)
+        sort, first = _grouped(keys)
+        count, left, mass = (np.add.reduceat(np.concatenate(v)[sort], first) for v in zip(*columns, strict=True))
+        count, left = (np.rint(v).astype(np.int64) for v in (count, left))
+        model.store("pairs", part, keys[sort][first], count=count, left=left, mass=mass)
+        n = left[left > 0]  # the pair of start tokens is a context only
+        return {"n": len(n), "tokens": int(count.sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}
 
     if order == 3:
         model.triple_discounts = discounts
-        done = reduced(text.mapInArrow(middle_out, "part int, keys binary, v0 binary, v1 binary, v2 binary"), middle_in)
+        done = reduced("pairs", middle_out, 3, middle_in)
         discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
     model.pairs, model.pair_discounts = sum(r["n"] for r in done), discounts
 
@@ -337,13 +425,14 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, count, left, context, mass = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
             sort, first = _grouped(keys)
-            total = [np.add.reduceat(v[sort], first) for v in (count, left, context, mass)]
-            return _blobs(keys[sort][first], total, parts)
+            return _blobs(keys[sort][first], [np.add.reduceat(v[sort], first) for v in columns], parts)
 
         for b in kernel.slices(batches, limit=SCORE_BYTES):
             word, before, _ = _sequences(b.column("text"))
+            if not len(word):
+                continue
             pair = _pair(before, word)
             c, value = model._lookup("pairs", pair, ("count", "left")) if order == 3 else [model.counts(pair)] * 2
             one = 1.0 / c
@@ -354,23 +443,22 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
             columns = [np.concatenate([np.ones(len(word)), zero]), np.concatenate([one, zero]), np.concatenate([zero, value * one]), np.concatenate([zero, lost])]
             held.append((keys[sort][first], *[np.add.reduceat(v[sort], first) for v in columns]))
             n += len(first)
-            if n >= GATHER:
+            if n >= GATHER // 2:
                 yield from send()
                 held, n = [], 0
         if held:
             yield from send()
 
-    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _by_part(batches):
-            keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
-            sort, first = _grouped(keys)
-            count, left, context, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"]) for r in rows])[sort], first) for i in range(4))
-            whole = [np.rint(v).astype(np.int64) for v in (count, left, context)]
-            _save(f"{model.path}/words-{part:06d}", count=whole[0], left=whole[1], context=whole[2], mass=mass, keys=keys[sort][first])
-            n = whole[1][whole[0] > 0]  # the start token is a context only
-            yield pa.RecordBatch.from_pylist([{"part": part, "n": len(n), "tokens": int(whole[0].sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}])
+    def words_in(part: int, rows: list[dict]) -> dict:
+        keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
+        sort, first = _grouped(keys)
+        count, left, context, mass = (np.add.reduceat(np.concatenate([np.frombuffer(r[f"v{i}"]) for r in rows])[sort], first) for i in range(4))
+        count, left, context = (np.rint(v).astype(np.int64) for v in (count, left, context))
+        model.store("words", part, keys[sort][first], count=count, left=left, context=context, mass=mass)
+        n = left[count > 0]  # the start token is a context only
+        return {"n": len(n), "tokens": int(count.sum()), "kinds": [int((n == k).sum()) for k in (1, 2, 3, 4)]}
 
-    done = reduced(text.mapInArrow(words_out, "part int, keys binary, v0 binary, v1 binary, v2 binary, v3 binary"), words_in)
+    done = reduced("words", words_out, 4, words_in)
     model.words = sum(r["n"] for r in done)
     kinds = [sum(r["kinds"][k] for r in done) for k in range(4)]
     model.word_discounts = _discounts(kinds)
@@ -389,7 +477,7 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
             cols = [b.column(keep), pa.array(got["n_tokens"]), pa.array(got["n_known"]), pa.array(np.full(b.num_rows, model.tokens)), pa.array(got["base_score"]), pa.array(got["score"])]
             yield pa.RecordBatch.from_arrays(cols, [keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
@@ -400,3 +488,21 @@ def held_out(doc_id: str = "doc_id"):
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs.where(~held_out()), order=ORDER)).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def base_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can tell: token counts and the add-0.1 base score, rounded."""
+    return op2_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(i) + 1), lambda k: ascii(i[k])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, r: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(xor({_CRC}, 4294967295) % 10 = 0, false) AS held_out,
+                  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w
+           FROM (SELECT *, doc_id::VARCHAR AS i FROM documents)),
+t AS (SELECT doc_id, held_out, unnest(w) AS k FROM d),
+c AS (SELECT k, count(*) AS c FROM t WHERE NOT held_out GROUP BY k),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n.n) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (k), n GROUP BY doc_id, held_out"""

@@ -14,10 +14,11 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
         "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
-        "op7_ngram_jaccard_links": jaccard_join.op7_ngram_jaccard_links,
         "op8_html_extraction": html_extraction.op8_html_extraction,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "base_language_model": language_model.base_language_model,
+        "base_secret_scans": secrets.base_secret_scans,
     }
 
 
@@ -26,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.SQL,
         "op6_benchmark_decontamination": decontamination.SQL,
         "op7_ngram_jaccard_join": jaccard_join.SQL,
+        "base_language_model": language_model.BASE_SQL,
+        "base_secret_scans": secrets.BASE_SQL,
     }
