@@ -26,6 +26,8 @@ from keyloom.llm.kernel import U64, HashArray
 from keyloom.llm.quality_rules import STOP_WORDS
 
 TRAIN_DOCS, TRAIN_CHARS, BUCKETS = 4_000, 50_000, 4096
+#: Rows of the sample whose feature matrix is made at once.
+MATRIX_ROWS = 250
 #: Measure, (bad below, good from), (good up to, bad above); None: that side never votes.
 LABELLERS = {
     "words": ((3, 50), (None, None)),
@@ -130,6 +132,15 @@ def weak_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
     return p, float(share), rate
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (kernel.mix(h) >> U64(52)).astype(np.int64)
+
+
+def _step(measures: np.ndarray, k: int) -> np.ndarray:
+    """The bucket of each document's measure ``k``, cut into steps of half a power of two."""
+    return _bucket((np.floor(np.log2(measures[:, k] + 2.0**-7) * 2).astype(np.int64) + 64 + 1000 * (k + 1)).astype(U64))
+
+
 class Scorer:
     """Hashed linear model; the bucket of a feature is the top bits of its hash."""
 
@@ -143,14 +154,12 @@ class Scorer:
         n = len(docs) - 1
         doc = np.repeat(np.arange(n), np.diff(docs))
         size = np.maximum(np.diff(docs), 1)
-        bucket = lambda x: (kernel.mix(x) >> U64(52)).astype(np.int64)
         x = np.zeros(n * BUCKETS)
         for values, salt in ((h, 1), (shape, 2)):
-            x += np.bincount(doc * BUCKETS + bucket(values + U64(salt)), 3.0 / size[doc], n * BUCKETS)
+            x += np.bincount(doc * BUCKETS + _bucket(values + U64(salt)), 3.0 / size[doc], n * BUCKETS)
         x = x.reshape(n, BUCKETS)
         for k in range(measures.shape[1]):
-            step = np.floor(np.log2(measures[:, k] + 2.0**-7) * 2).astype(np.int64) + 64
-            x[np.arange(n), bucket((step + 1000 * (k + 1)).astype(U64))] += 1.0
+            x[np.arange(n), _step(measures, k)] += 1.0
         return np.concatenate([x, np.ones((n, 1))], axis=1).astype(np.float32), measures
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> None:
@@ -164,8 +173,15 @@ class Scorer:
         self.weights = w
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        x, measures = self.features(texts)
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights).astype(np.float64), -30, 30))), measures
+        """Scores and measures; the sums over a text's features are taken without the matrix, so memory follows the texts."""
+        measures, h, shape, docs = _measured(texts, self.stops)
+        w, size = np.asarray(self.weights, np.float64), np.maximum(np.diff(docs), 1)
+        z = np.full(len(docs) - 1, w[-1])
+        for values, salt in ((h, 1), (shape, 2)):
+            z += kernel.sums(w[_bucket(values + U64(salt))], docs) * 3.0 / size
+        for k in range(measures.shape[1]):
+            z += w[_step(measures, k)]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), measures
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Scorer, dict[str, float]]:
@@ -178,7 +194,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Scorer, dict[s
             v = votes(_measured(b.column("text"), stops)[0])
             yield pa.RecordBatch.from_arrays([pa.array(_names(v), pa.string())], ["pattern"])
 
-    counted = docs.select("text").mapInArrow(cast, "pattern string").groupBy("pattern").count().collect()  # at most 3 to the power of the labellers
+    counted = docs.select("text").mapInArrow(kernel.trimmed(cast), "pattern string").groupBy("pattern").count().collect()  # at most 3 to the power of the labellers
     scorer = Scorer()
     if not counted:
         return scorer, {}
@@ -190,7 +206,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[Scorer, dict[s
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, train_docs / n))
     sample = docs.where(draw & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(train_docs).toArrow()
     if sample.num_rows:
-        parts = [scorer.features(b.column("text")) for b in kernel.slices(iter(sample.combine_chunks().to_batches()))]
+        batches = (b.slice(at, MATRIX_ROWS) for b in kernel.slices(iter(sample.combine_chunks().to_batches())) for at in range(0, b.num_rows, MATRIX_ROWS))
+        parts = [scorer.features(b.column("text")) for b in batches]
         x, measures = (np.concatenate(v) for v in zip(*parts, strict=True))
         scorer.fit(x, np.array([known[p] for p in _names(votes(measures))]))
     return scorer, known
@@ -212,7 +229,7 @@ def classify(docs: DataFrame, scorer: Scorer, known: dict[str, float], keep: str
             weak = [known.get(p, 0.5) for p in _names(votes(measures))]
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(score), pa.array(weak), pa.array(score >= 0.5)], [keep, "score", "weak_label", "kept"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, score double, weak_label double, kept boolean")
+    return docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, score double, weak_label double, kept boolean")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
