@@ -7,8 +7,9 @@ one sorted hash array of contexts with the back-off weights. A text gets the lan
 character. Rejection is calibrated on documents that were not counted: a logistic curve of the margin between the two best
 languages gives the confidence, and a quantile of the winners' cross-entropies says what is foreign to all languages.
 
-The sample: for each language at most about ``DOCS`` labelled documents of at most ``CHARS`` characters, chosen by a hash of doc_id;
-so the model and its broadcast are bounded by the number of languages, not by the corpus. Every text is scored whole.
+The sample: for each of the ``LANGS`` most common languages at most about ``DOCS`` labelled documents of at most ``CHARS`` characters,
+``ALL_DOCS`` in all, chosen by a hash of doc_id; so neither the corpus nor a noisy lang column makes the model or its broadcast grow. Every
+text is scored whole.
 
 Defined results: ``und`` with score 0 for a null text, an empty one or one without a letter, and for every text if nothing
 could be learned; ties go to the language that sorts first; repeated rows and null ids are predicted like any other row; extra
@@ -34,6 +35,8 @@ from keyloom.llm.kernel import U64, HashArray
 
 ORDER, BITS = 5, 12  # symbols of 12 bits: five of them make a key of 60 bits
 DOCS, CHARS, SYMBOLS = 1000, 20_000, (1 << BITS) - 2
+#: The languages learnt are the most common ones, and all of them share so many documents.
+LANGS, ALL_DOCS = 400, 20_000
 #: Rows of a language from which some are held for the calibration.
 HOLD = 10
 _SPREAD = U64(0x9E3779B97F4A7C15)  # odd: multiplying by it is a bijection, so hashed n-grams never collide
@@ -230,15 +233,15 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS) -> Mod
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     short = F.length("text") <= chars
-    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("short")).collect()
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short.cast("long")).alias("short")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     sizes = {r["lang"]: r["short"] or r["n"] for r in found}
     known = known.where(short | F.col("lang").isin([r["lang"] for r in found if not r["short"]])).withColumn("text", F.substring("text", 1, chars))
+    docs_per_lang = max(1, min(docs_per_lang, ALL_DOCS // max(1, len(sizes))))
     if not sizes:
         return Model(pa.array([], pa.string()), [])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int((1 << 20) * min(1.0, docs_per_lang / n))))
+    below = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int((1 << 20) * min(1.0, docs_per_lang / n)))])
+    chosen = draw < F.coalesce(F.element_at(below, F.col("lang")), F.lit(0))
     rows = known.where(chosen).orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(2 * docs_per_lang * len(sizes)).toArrow()
     return Model(rows.column("text").combine_chunks(), rows.column("lang").to_pylist())
 
@@ -253,7 +256,7 @@ def identify(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
             lang, sure, rejected = shared.value.predict(pc.fill_null(b.column("text"), ""))
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(lang, pa.string()), pa.array(sure), pa.array(rejected)], [keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, lang_pred string, score double, rejected boolean")
+    return docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: str = "doc_id"):
