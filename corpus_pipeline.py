@@ -6,7 +6,11 @@
 4. secret scans: secrets are replaced by a mark; every document stays.
 5. byte-level BPE: token counts and digests of every text that is left.
 
-All but the last return the columns of their input. A null doc_id is kept by every stage.
+All but the last return the columns of their input, extra ones included.
+
+Defined results: a null doc_id is no document's copy and is kept by stage 2; every other stage judges its text like any other. Rows that
+share a doc_id are one document: stage 2 keeps or drops them together (repeated rows all stay), the other stages judge each row's text.
+Null and empty texts are not toxic, no copy, have no windows and no secrets, and are encoded as no tokens; an empty table stays empty.
 """
 
 from __future__ import annotations

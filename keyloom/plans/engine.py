@@ -141,14 +141,12 @@ class Engine:
             self.flush()
 
     def _wait(self) -> None:
-        """Hold a write until level 0 is below the stall trigger."""
+        """Hold a write until level 0 is below the stall trigger, or no compaction is due that could bring it there."""
         if self.worker:
             self.worker.check()
-            while self.stalled():
-                self.worker.wait_turn()
-        else:
-            while self.stalled() and self.compact():
-                pass
+        turn = self.worker.wait_turn if self.worker else self.compact
+        while self.stalled() and turn():
+            pass
 
     def _one(self, key: bytes | str, kind: int, value: bytes | str) -> None:
         raw = value.encode() if isinstance(value, str) else bytes(value)

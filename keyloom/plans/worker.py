@@ -14,7 +14,7 @@ class Worker:
         self.work = work
         self.changed = threading.Condition()
         self.scheduled = self.closing = False
-        self.rounds = 0
+        self.rounds, self.useful = 0, False
         self.error: Exception | None = None
         self.thread = threading.Thread(target=self._run, name="keyloom-compaction", daemon=True)
         self.thread.start()
@@ -28,14 +28,15 @@ class Worker:
         if self.error:
             raise self.error
 
-    def wait_turn(self) -> None:
-        """Wait for one more round of work."""
+    def wait_turn(self) -> bool:
+        """Wait for one more round of work; whether it found something to do."""
         with self.changed:
             before = self.rounds
             self.scheduled = True
             self.changed.notify_all()
             self.changed.wait_for(lambda: self.rounds > before or self.error or self.closing and not self.thread.is_alive())
         self.check()
+        return self.useful
 
     def close(self) -> None:
         with self.changed:
@@ -58,7 +59,7 @@ class Worker:
                 except Exception as e:  # noqa: BLE001 - kept for the writers
                     self.error = e
                 with self.changed:
-                    self.rounds += 1
+                    self.rounds, self.useful = self.rounds + 1, more
                     self.changed.notify_all()
             if self.error:
                 return

@@ -172,6 +172,15 @@ def test_background_compaction(spark, root):
     assert shown(Engine.open(spark, root).scan()) == [("k0", "4"), ("k1", "5"), ("k2", "2"), ("k3", "3")]
 
 
+@pytest.mark.parametrize("background", [False, True])
+def test_a_stall_that_no_compaction_ends_does_not_hang(spark, root, background):
+    e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=9, level0_write_stall_trigger=1), background=background)
+    for k in "abc":
+        write(e, (k, "1"))
+    e.close()
+    assert [k for k, _ in shown(e.scan())] == ["a", "b", "c"]
+
+
 def test_background_error_sticks(spark, root):
     e = Engine.open(spark, root, Options(write_buffer_size=1, level0_compaction_trigger=1), background=True)
 
