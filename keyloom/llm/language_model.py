@@ -164,7 +164,7 @@ def _store(base: str, keys: np.ndarray, lead_from: int, parts: int, plain: np.nd
     rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
     narrow = lambda v: v.astype(np.uint32) if not len(v) or 0 <= v.min() and v.max() < 2**32 else v
     kept = {c: v[~plain] if v.dtype.kind == "f" else narrow(v[~plain]) for c, v in columns.items()}
-    _save(base, **kept, low=np.ascontiguousarray(low), index=narrow(np.concatenate([[bits, first], index])), rich=words, rank=narrow(rank))
+    _save(base, **kept, low=np.concatenate([low.reshape(-1), np.zeros(8, np.uint8)]), index=narrow(np.concatenate([[bits, first], index])), rich=words, rank=narrow(rank))
 
 
 def _sought(base: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,17 +174,17 @@ def _sought(base: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lead = (q >> U64(64 - bits)).astype(np.int64) - first
     own = np.flatnonzero(lead < len(index) - 3)
     lo, hi = index[lead[own] + 2].astype(np.int64), index[lead[own] + 3].astype(np.int64)
-    width = low.shape[1]
-    wanted = (q[own] >> U64(8)) & U64((1 << (8 * width)) - 1)
-    end = hi.copy()
-    value = np.zeros((len(own), 8), np.uint8)
+    width = 7 - bits // 8
+    mask = U64((1 << (8 * width)) - 1)
+    # Eight bytes from each row's place: its own are the low ones. The row after the last is all padding.
+    value = np.ndarray(((len(low) - 8) // width + 1,), U64, low, strides=(width,))
+    wanted = (q[own] >> U64(8)) & mask
+    end = hi
     for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-        mid = np.minimum((lo + hi) >> 1, len(low) - 1)
-        value[:, :width] = low[mid]
-        less = (value.reshape(-1).view(U64) < wanted) & (lo < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
-    value[:, :width] = low[np.minimum(lo, len(low) - 1)] if len(low) else 0
-    hit = np.flatnonzero((lo < end) & (value.reshape(-1).view(U64) == wanted))
+        mid = (lo + hi) >> 1
+        less = ((value[mid] & mask) < wanted) & (mid < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    hit = np.flatnonzero((lo < end) & ((value[lo] & mask) == wanted))
     return own[hit], lo[hit]
 
 
@@ -217,17 +217,24 @@ class Model:
         _store(self.file(kind, part), keys, int(_bounds(self.parts)[part]), self.parts, plain, **columns)
 
     def _lookup(self, kind: str, h: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """The columns beside each hash, 0 where it is unknown."""
+        """The columns beside each hash, 0 where it is unknown. Each distinct hash is sought once."""
         order = np.argsort(h)
         ordered = h[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(h)]
+        some = ordered[fresh]
+        place = np.empty(len(h), np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        return [v[place] for v in self._sorted_lookup(kind, some, columns)]
+
+    def _sorted_lookup(self, kind: str, ordered: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         cuts = _cuts(ordered, self.parts)
-        out = [np.zeros(len(h), np.float64 if c == "mass" else np.int64) for c in columns]
+        out = [np.zeros(len(ordered), np.float64 if c == "mass" else np.int64) for c in columns]
         there = np.zeros(self.parts, bool)
         there[self.written.get(kind, [])] = True
         for p in np.flatnonzero((np.diff(cuts) > 0) & there).tolist():
             base = self.file(kind, p)
             found, at = _sought(base, ordered[cuts[p] : cuts[p + 1]])
-            to = order[cuts[p] + found]
+            to = cuts[p] + found
             for o, c in zip(out, columns, strict=True):
                 o[to] = self._plain(kind, c)
             word = _mapped(f"{base}.rich.npy")[at >> 6]
@@ -246,9 +253,21 @@ class Model:
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         word, before, docs = _sequences(texts)
-        c, left = self._lookup("words", word, ("count", "left"))
-        context, mass = self._lookup("words", before, ("context", "mass"))
-        pair = self.counts(_pair(before, word)) if self.order == 2 else self._lookup("pairs", _pair(before, word), ("left",))[0]
+
+        def earlier(v: np.ndarray) -> np.ndarray:
+            """Of each token's predecessor; the last of ``v`` belongs to the start of a text."""
+            out = np.concatenate([v[-1:], v[:-2]])
+            out[docs[:-1]] = v[-1]
+            return out
+
+        c, left, context, mass = self._lookup("words", np.append(word, START), ("count", "left", "context", "mass"))
+        c, left, context, mass = c[:-1], left[:-1], earlier(context), earlier(mass)
+        pairs = _pair(before, word)
+        if self.order == 2:
+            pair = self.counts(pairs)
+        else:
+            held, pair, third = self._lookup("pairs", np.append(pairs, _pair(np.array([START]), np.array([START]))), ("count", "left", "mass"))
+            held, pair, third = earlier(held), pair[:-1], earlier(third)
         d2, d1 = np.array(self.pair_discounts), np.array(self.word_discounts)
         uniform = 1.0 / (self.words + 1)
         low = np.full(len(word), uniform)
@@ -259,10 +278,9 @@ class Model:
         high = np.maximum(pair - d2[np.minimum(pair, 3)], 0)
         p = np.where(seen, (high + mass * low) / np.maximum(context, 1), low)
         if self.order == 3:
-            context, mass = self._lookup("pairs", _pair(_second(before, docs), before), ("count", "mass"))
             triple, d3 = self.counts(_gram(word, before, docs, 3)), np.array(self.triple_discounts)
             high = np.maximum(triple - d3[np.minimum(triple, 3)], 0)
-            p = np.where(context > 0, (high + mass * p) / np.maximum(context, 1), p)
+            p = np.where(held > 0, (high + third * p) / np.maximum(held, 1), p)
         base = np.log10((c + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
         return {
             "n_tokens": np.diff(docs),
