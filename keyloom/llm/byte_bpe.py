@@ -67,21 +67,35 @@ class Codec:
     def __init__(self, path: str, pattern: str, memory: str = "250MB"):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.pattern, self.memory = regex.compile(pattern), memory
         pairs = {(ranks[t[:i]] << 20) + ranks[t[i:]]: n for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self._load("merges", pair=np.fromiter(pairs.keys(), np.int64, len(pairs)), id=np.fromiter(pairs.values(), np.int64, len(pairs)))
-        self._load("vocabulary", id=np.fromiter(ranks.values(), np.int64, len(ranks)), hex=pa.array([t.hex() for t in ranks], pa.string()))
+        self.tables = {
+            "merges": pa.table({"pair": np.fromiter(pairs.keys(), np.int64, len(pairs)), "id": np.fromiter(pairs.values(), np.int64, len(pairs))}),
+            "vocabulary": pa.table({"id": np.fromiter(ranks.values(), np.int64, len(ranks)), "hex": pa.array([t.hex() for t in ranks], pa.string())}),
+        }
+        self._db = None
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.bytes = {n: t for t, n in ranks.items()}
         self.decimal = [str(i) for i in range(max(ranks.values(), default=0) + 1)]
         self._forget()
 
-    def _load(self, name: str, **columns) -> None:
-        source = pa.table(columns)
-        self.db.register("source", source)
-        self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM source")
-        self.db.unregister("source")
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """The database with the merge table and the vocabulary, made when it is first asked for after :meth:`close`."""
+        if self._db is None:
+            self._db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": self.memory, "temp_directory": ""})
+            for name, source in self.tables.items():
+                self._db.register("source", source)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM source")
+                self._db.unregister("source")
+        return self._db
+
+    def close(self) -> None:
+        """Give up the database and the pieces encoded so far; the codec may go on."""
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -213,8 +227,11 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
+kernel.FORGET.append(lambda: [c.close() for c in _codecs.values()])
+
+
 def codec(path: str, pattern: str) -> Codec:
-    """This worker's codec, made once."""
+    """This worker's codec, made once; its database goes at the end of a partition."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]

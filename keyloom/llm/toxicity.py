@@ -1,16 +1,17 @@
 """Toxicity: maximum-scoring segments over token log-odds, calibrated by extreme-value statistics.
 
 1. Tokens are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. A token's features are its
-   prefixes of 4 to 8 bytes and itself. Each feature's share of toxic documents has a Dirichlet prior centred on the share of
-   the next shorter prefix, so an unseen token inherits what is known of its stem. The score of a token is the log-odds of
-   that share, less a drift that makes ordinary text lose.
+   prefixes of 4 to 8 bytes and itself. Each feature's share of toxic documents has a mixture of two Dirichlet priors centred on
+   the share of the next shorter prefix, so an unseen token inherits what is known of its stem, and a feature needs several toxic
+   documents before it counts. The score of a token is the log-odds of that share against the base rate, less a drift that makes
+   ordinary text lose.
 2. A linear-time scan finds every maximal-scoring segment of a text.
 3. The largest segment of clean texts follows a Gumbel distribution whose mode grows with the logarithm of the text's
    length. It turns a segment's score into a p-value; the evidence of a text (its best segment and all significant ones) goes
-   through a logistic curve fitted on documents that were not counted.
+   through a logistic curve without negative weights, fitted on documents measured by counts that left them out.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``TRAIN_DOCS`` documents of
-each class, of at most ``TRAIN_CHARS`` characters) and broadcast; its size is bounded by that sample. Every text is scored whole.
+The model is fitted in one task from a bounded sample of labelled rows (``TRAIN_DOCS`` documents of each class, of at most
+``TRAIN_CHARS`` characters) and broadcast; its size is bounded by that sample, and no text comes to the driver. Every text is scored whole.
 
 Defined results: a null or empty text has no token and gets the score of no evidence; without any label (or with one class
 only) every score is the share of toxic labels (0 without labels); null ids and repeated rows are scored like any other row;
@@ -19,6 +20,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,11 @@ from keyloom.llm import kernel
 from keyloom.llm.common import table, workers_find_package
 from keyloom.llm.kernel import U64, HashArray
 
-TRAIN_DOCS, TRAIN_CHARS = 3_000, 100_000
+TRAIN_DOCS, TRAIN_CHARS = 3_000, 20_000
 PREFIXES = (4, 5, 6, 7, 8)
-PRIOR, DRIFT, SIGNIFICANT = 12.0, 0.8, 0.01
+#: Weights in documents of the two Dirichlet priors, and the share of features that the loose one is for.
+TIGHT, LOOSE, OWN = 200.0, 1.0, 0.03
+DRIFT, SIGNIFICANT, FOLDS = 0.8, 0.01, 4
 #: A document of this score or more is toxic, in the query as in the pipeline.
 TOXIC = 0.3
 _APART = np.ones(256, bool)
@@ -99,41 +103,54 @@ class Model:
             self._fit(texts, toxic.astype(bool))
 
     def _fit(self, texts: pa.Array, toxic: np.ndarray) -> None:
-        held = np.arange(len(texts)) % 4 == 0  # for the calibration
-        self._count(texts.filter(pa.array(~held)), toxic[~held])
-        texts, toxic = texts.filter(pa.array(held)), toxic[held]
-        best, every, n = self._measured(_Tokens(texts))
+        fold = np.zeros(len(texts), np.int64)  # every document is measured by counts that leave its fold out
+        for kind in (True, False):
+            fold[toxic == kind] = np.arange((toxic == kind).sum()) % FOLDS
+        measured = []
+        for k in range(FOLDS):
+            own = fold == k
+            if own.any() and 0 < toxic[~own].sum() < (~own).sum():
+                self._count(texts.filter(pa.array(~own)), toxic[~own])
+                measured.append((np.flatnonzero(own), *self._measured(_Tokens(texts.filter(pa.array(own))))))
+        self._count(texts, toxic)
+        if not measured:
+            return
+        rows, best, n = (np.concatenate([m[k] for m in measured]) for k in (0, 1, 3))
+        every = [x for m in measured for x in m[2]]
+        toxic = toxic[rows]
         clean = ~toxic & (best > 0)
         x = best[clean]
-        self.scale = max(0.2, float(np.std(x)) * np.sqrt(6) / np.pi) if len(x) > 1 else 1.0
-        self.mode = float(np.mean(x - self.scale * np.log(np.maximum(n[clean], 1)))) - 0.5772 * self.scale if len(x) else 0.0
+        if len(x) > 1:  # a Gumbel distribution by its quartiles: a few wrongly labelled documents must not stretch it
+            self.scale = max(0.2, float(np.subtract(*np.quantile(x, [0.75, 0.25]))) / (np.log(np.log(4)) - np.log(np.log(4 / 3))))
+            self.mode = float(np.median(x - self.scale * np.log(np.maximum(n[clean], 1)))) + np.log(np.log(2)) * self.scale
         drawn = toxic.mean()
         weight = np.where(toxic, self.share / max(drawn, 1e-9), (1 - self.share) / max(1 - drawn, 1e-9))
         self.weights = _logistic(self._evidence(best, every, n), toxic, weight)
 
     def _count(self, texts: pa.Array, toxic: np.ndarray) -> None:
-        """Shares of toxic documents by feature, both classes weighing the same; only those that differ from their prior stay."""
+        """The log-odds of every feature against the base rate; only those that differ from their prior stay."""
         tokens = _Tokens(texts)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(tokens.docs))
-        weight = np.where(toxic, len(toxic) / 2 / max(1, toxic.sum()), len(toxic) / 2 / max(1, (~toxic).sum()))
+        base = float(toxic.mean())
         keys, odds = [], []
-        prior_of = np.full(len(doc), 0.5, np.float32)  # of each token: the share of its longest known shorter prefix
+        prior_of = np.full(len(doc), base)  # of each token: the share of its longest known shorter prefix
         for level in range(_Tokens.levels):
             h = tokens.level(level)
-            use = np.flatnonzero(h != 0)
-            order = use[np.argsort(h[use], kind="stable")]  # stable, and tokens are in the order of documents
+            order = np.argsort(h, kind="stable").astype(np.int32)[int((h == 0).sum()) :]  # stable, and tokens are in the order of documents
             hh, dd = h[order], doc[order]
             once = np.concatenate([[True], (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])])[: len(hh)]
             order, hh, dd = order[once], hh[once], dd[once]
+            del once
             first = np.flatnonzero(np.concatenate([[True], hh[1:] != hh[:-1]])[: len(hh)])
             if not len(first):
                 continue
-            prior = prior_of[order[first]].astype(np.float64)
-            share = (np.add.reduceat(weight[dd] * toxic[dd], first) + PRIOR * prior) / (np.add.reduceat(weight[dd], first) + PRIOR)
-            odd = np.log(share / (1 - share))
-            known = np.abs(odd - np.log(prior / (1 - prior))) > 0.02
+            prior = prior_of[order[first]]
+            share = _share(np.add.reduceat(toxic[dd].astype(float), first), np.diff(np.concatenate([first, [len(hh)]])), prior)
+            odd = _logit(share) - _logit(base)
+            known = np.abs(odd - _logit(prior) + _logit(base)) > 0.02
             keys.append(hh[first][known])
             odds.append(odd[known])
+            del order, hh, dd
             at, hit = HashArray(keys[-1]).find(h)
             hit &= h != 0
             prior_of[hit] = share[known][at[hit]]
@@ -159,16 +176,14 @@ class Model:
         return -np.expm1(-np.exp(np.clip(-(s - self.mode - self.scale * np.log(np.maximum(n, 1))) / self.scale, -700, 30)))
 
     def _evidence(self, best: np.ndarray, every: list[list[float]], n: np.ndarray) -> np.ndarray:
+        """A constant, the surprise of the best segment, and that of all significant ones together; both grow with every toxic passage."""
         top = np.where(best > 0, np.minimum(-np.log10(np.maximum(self._p(best, n), 1e-30)), 12), 0.0)
         more = np.zeros(len(best))
-        raw = np.zeros(len(best))
         for i, x in enumerate(every):
             if x:
-                v = np.array(x)
-                p = self._p(v, np.full(len(v), n[i]))
+                p = self._p(np.array(x), np.full(len(x), n[i]))
                 more[i] = np.log1p(np.sum(-np.log10(np.maximum(p[p < SIGNIFICANT], 1e-30))))
-                raw[i] = np.log1p(v.sum())
-        return np.stack([np.ones(len(best)), top, more, raw, np.minimum(best, 8)], axis=1)
+        return np.stack([np.ones(len(best)), top, more], axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
@@ -177,16 +192,49 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
+def _logit(p: np.ndarray | float) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers, by Stirling's series beyond 8."""
+    below, y = np.zeros(np.shape(x)), np.asarray(x, float)
+    for _ in range(8):
+        below, y = below + np.log(y), y + 1
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - below
+
+
+def _share(k: np.ndarray, n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Share of toxic documents among those with a feature, ``k`` of ``n`` seen, under a mixture of two Dirichlet priors around ``prior``:
+    most features keep close to it (``TIGHT``), a few go their own way (``LOOSE``)."""
+    prior = np.clip(prior, 1e-6, 1 - 1e-6)
+
+    def seen(weight: float) -> np.ndarray:
+        a, b = weight * prior, weight * (1 - prior)
+        return _lgamma(a + b) - _lgamma(a) - _lgamma(b) + _lgamma(a + k) + _lgamma(b + n - k) - _lgamma(a + b + n)
+
+    own = 1 / (1 + np.exp(np.clip(seen(TIGHT) - seen(LOOSE) - np.log(OWN / (1 - OWN)), -50, 50)))
+    return own * (k + LOOSE * prior) / (n + LOOSE) + (1 - own) * (k + TIGHT * prior) / (n + TIGHT)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+    """Weights of a logistic curve, none but the constant's below 0."""
+    used = list(range(x.shape[1]))
+    while True:
+        z, w = x[:, used], np.zeros(len(used))
+        penalty = np.diag([1e-6] + [ridge] * (len(used) - 1))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ z + penalty, z.T @ (weight * (y - p)) - penalty @ w)
+            w += np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-6:
+                break
+        if len(used) == 1 or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        del used[1 + int(np.argmin(w[1:]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
@@ -198,9 +246,21 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
         chosen = chosen | ((F.col("toxic") == kind) & (draw < int((1 << 20) * min(1.0, train_docs / count))))
     part = known.where(chosen).limit(4 * train_docs)
     text = docs.where(F.col("text").isNotNull() & (F.length("text") <= train_chars)).select("doc_id", "text")
-    rows = text.join(F.broadcast(part), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(2 * train_docs).toArrow()
+    rows = text.join(F.broadcast(part), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), F.xxhash64("text")).limit(2 * train_docs).select("text", F.col("toxic").cast("int").alias("toxic"))
     share = n.get(1, 0) / max(1, sum(n.values()))
-    return Model(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("toxic").to_numpy().astype(np.int64), share)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches, pa.schema([("text", pa.string()), ("toxic", pa.int32())])).combine_chunks()  # bounded, in one partition
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(_fitted(sample, share))]})
+
+    workers_find_package(docs.sparkSession)
+    made = rows.mapInArrow(kernel.trimmed(fit), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model(pa.array([], pa.string()), np.zeros(0, np.int64), share)
+
+
+def _fitted(sample: pa.Table, share: float) -> Model:
+    text = sample.column("text")
+    return Model(text.combine_chunks() if text.num_chunks != 1 else text.chunk(0), sample.column("toxic").to_numpy().astype(np.int64), share)
 
 
 def score(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
@@ -212,7 +272,7 @@ def score(docs: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
         for b in kernel.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array(shared.value.scores(b.column("text")))], [keep, "score"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind.simpleString()}, score double")
+    return docs.select(keep, "text").mapInArrow(kernel.trimmed(run), f"`{keep}` {kind.simpleString()}, score double")
 
 
 def filtered(docs: DataFrame, model: Model, toxic: float) -> DataFrame:
@@ -223,7 +283,7 @@ def filtered(docs: DataFrame, model: Model, toxic: float) -> DataFrame:
         for b in kernel.slices(batches):
             yield b.filter(pa.array(shared.value.scores(b.column("text")) < toxic))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernel.trimmed(run), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
