@@ -2,9 +2,9 @@
 
 Every benchmark item is cut into windows of ``width`` consecutive words (an item of fewer words is one window). The windows'
 64-bit hashes become a broadcast hash set: a bitmap literal of a bounded size that the scan of the training texts probes at
-each word position. Positions that the set lets through are few; their words are then compared as strings with the windows
-(the verification), which also names the items. A benchmark with more windows than ``block`` is taken in blocks, one scan of
-the training texts each, so what is broadcast never grows with the data.
+each word position whose first two words begin some window, which a smaller hash set tells first. Positions that the sets let through
+are few; their words are then compared as strings with the windows (the verification), which also names the items. A benchmark with
+more windows than ``block`` is taken in blocks, one scan of the training texts each, so what is broadcast never grows with the data.
 
 Defined results: a null or empty text, or one without words, has no hits; an item without words has no window; equal windows
 of several items count for each of them; rows that share a doc_id are told apart by their texts, and identical rows each get
@@ -23,7 +23,7 @@ from keyloom.llm.common import ascii_lower, broadcast_if_small, stored, table
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 13
 #: Windows per scan, and bits per window of the bitmap (so at most 1/32 of foreign positions pass the first test).
-BLOCK, BITS = 100_000, 32
+BLOCK, BITS = 500_000, 32
 #: A verification table of up to so many windows is broadcast (at ``width`` words of some 8 bytes); a larger one is joined by shuffle.
 BROADCAST_WINDOWS = 100_000
 
@@ -32,16 +32,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(PATTERN), 0)
 
 
+def _pair(w: Column, i: Column) -> Column:
+    """The hash of the words at places ``i`` and ``i`` + 1, from 0."""
+    return F.xxhash64(F.get(w, i), F.get(w, i + 1))
+
+
 def _windows(bench: DataFrame, width: int) -> DataFrame:
-    """(window, m, h, items): the distinct windows, their number of words, their hash, and the items that have them."""
+    """(window, m, h, p, items): the distinct windows, their number of words, their hash, that of their first two words, and the items that
+    have them (one array: as long as the items that share a window)."""
     w = F.col("_kl_w")
     m = F.least(F.size(w), F.lit(width))
-    cut = F.transform(F.sequence(F.lit(1), F.size(w) - m + 1), lambda i: F.struct(F.array_join(F.slice(w, i, m), " ").alias("window"), m.alias("m"), F.xxhash64(F.slice(w, i, m)).alias("h")))
+    cut = F.transform(F.sequence(F.lit(1), F.size(w) - m + 1), lambda i: F.struct(F.array_join(F.slice(w, i, m), " ").alias("window"), m.alias("m"), F.xxhash64(F.slice(w, i, m)).alias("h"), _pair(w, i - 1).alias("p")))
     return (
         bench.select(F.col("item_id"), words(F.col("text")).alias("_kl_w"))
         .where(F.size("_kl_w") > 0)
         .select("item_id", F.explode(cut).alias("_kl_x"))
-        .groupBy("_kl_x.window", "_kl_x.m", "_kl_x.h")
+        .groupBy("_kl_x.window", "_kl_x.m", "_kl_x.h", F.col("_kl_x.p").alias("p"))
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
 
@@ -61,15 +67,10 @@ def _passes(h: Column, hashes: np.ndarray) -> Column:
     return F.getbit(F.get(held, F.shiftrightunsigned(h, shift).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _hashes(w: Column, m: int) -> Column:
-    cut = F.transform(F.sequence(F.lit(1), F.size(w) - m + 1), lambda i: F.xxhash64(F.slice(w, i, m)))
-    return F.when(F.size(w) >= m, cut).otherwise(F.array().cast("array<bigint>"))
-
-
-def _spans(w: Column, hs: Column, m: int, hashes: np.ndarray) -> Column:
-    """(start, m, window) of the positions that the hash set lets through; null without positions."""
-    at = F.filter(F.sequence(F.lit(0), F.size(hs) - 1), lambda i: _passes(F.get(hs, i), hashes))
-    return F.transform(F.when(F.size(hs) > 0, at), lambda i: F.struct(i.alias("start"), F.lit(m).alias("m"), F.array_join(F.slice(w, i + 1, m), " ").alias("window")))
+def _spans(w: Column, near: Column, m: int, hashes: np.ndarray) -> Column:
+    """(start, m, window) of the positions that the hash set of windows of ``m`` words lets through; ``near``: where it looks."""
+    at = F.filter(near, lambda i: (i + m <= F.size(w)) & _passes(F.xxhash64(F.slice(w, i + 1, m)), hashes))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(m).alias("m"), F.array_join(F.slice(w, i + 1, m), " ").alias("window")))
 
 
 def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -83,13 +84,13 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, block: int = BLO
     out = None
     for b in range(blocks):
         part = windows.where(F.pmod(F.col("h"), F.lit(blocks)) == b) if blocks > 1 else windows
-        found = base.select("*", *[_hashes(F.col("_kl_w"), m).alias(f"_kl_h{m}") for m in lengths])
-        spans = []
-        for m in lengths:
-            hashes = np.array([r["h"] for r in part.where(F.col("m") == m).select("h").distinct().collect()], np.int64)  # at most ``block``
-            spans.append(_spans(F.col("_kl_w"), F.col(f"_kl_h{m}"), m, hashes))
-        none = F.array().cast("array<struct<start:int,m:int,window:string>>")
-        passed = F.concat(none, *[F.coalesce(x, none) for x in spans])
+        hashes = lambda m, c: np.array([r[c] for r in part.where(m).select(c).distinct().collect()], np.int64)  # noqa: E731 - at most ``block``
+        w, every = F.col("_kl_w"), F.col("_kl_every")
+        places = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = hashes(F.col("m") > 1, "p")
+        found = base.withColumn("_kl_every", places).withColumn("_kl_near", F.filter(every, lambda i: _passes(_pair(w, i), begins)))
+        spans = [_spans(w, F.col("_kl_near") if m > 1 else every, m, hashes(F.col("m") == m, "h")) for m in lengths]
+        passed = F.concat(F.array().cast("array<struct<start:int,m:int,window:string>>"), *spans)
         found = found.select(*key, F.size("_kl_w").cast("long").alias("n_words"), F.lit(b).alias("_kl_b"), passed.alias("_kl_passed"))
         out = found if out is None else out.unionByName(found)
     seen = stored(out, "decontamination-scan")
