@@ -66,3 +66,12 @@ def test_toxicity_stage_agrees_with_the_verdict(spark, tmp_path, monkeypatch, sc
     verdicts = {r["predicted"] for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()}
     assert verdicts == {int(score >= 0.3)}
     assert corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).count() == (20 if verdicts == {0} else 0)
+
+
+def test_rows_that_share_an_id_stay_or_go_together(spark, tmp_path):
+    text, other = prose(1, 60), prose(2, 60)
+    rows = [(1, text), (1, text), (2, text), (2, text), (None, text), (3, other), (None, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, component_id string")
+    left = corpus_pipeline.without_near_copies(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([r for r in rows if r[0] != 2], key=str)
