@@ -51,14 +51,21 @@ def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of an action go when it ends, not when the driver collects its garbage: several passes over the corpus
-    then need the disk of one. An action that is run again makes its shuffle again."""
+    then need the disk of one. An action that is run again makes its shuffle again.
+
+    Before and after, the driver collects its garbage, as Spark does by itself every half hour (``spark.cleaner.periodicGC.interval``):
+    broadcasts and plans of earlier passes go from all machines, and the driver's heap does not start from its fullest.
+    """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
+    collect = spark.sparkContext._jvm.System.gc
+    collect()
     try:
         yield
     finally:
         spark.conf.set(key, before)
+        collect()
 
 
 def ascii_lower(text: Column) -> Column:
