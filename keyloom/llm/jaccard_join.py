@@ -14,9 +14,11 @@ Distribution. An R-tree over all documents would be one task, so trees are built
    count vectors allow 80 %; more documents, all of them but 80 % frequent shingles, are sorted by size, cut where one size is below
    80 % of the next, and tied to the first of their run without a test. Nothing is dropped.
 4. Components of the candidate pairs are the blocks: no link leaves one. A block of up to ``BLOCK`` documents and
-   ``BLOCK_SHINGLES`` shingles is one task's R-tree; a larger one is dealt into so many parts, and each pair of parts is a task, so
-   that no task grows with a group. The price is that a document of a block of k parts is sent k times: every link of a group is
-   verified and counted, and a group of n different texts may have n * n / 2 of them.
+   ``BLOCK_SHINGLES`` shingles is one task's R-tree; a larger one is dealt by size class, so that links are inside a class or between
+   neighbours (``CLASSES``), and each class into parts of that size. Every document is sent to its part alone, which is written once
+   into the shared folder; each pair of parts that may hold links is a piece of work of its own that reads both files, so that no work
+   grows with a group and disk grows with the documents only. The files go when the links are known. Every link of a group is verified
+   and counted, and a group of n different texts may have n * n / 2 of them.
 5. Every pair of different sets that passes the bound is verified. Tasks emit a spanning forest of the links and, for every set,
    the number of documents it is linked with, never the pairs; components of the forest are the groups.
 
@@ -31,6 +33,8 @@ counts links of texts); a doc_id that is not an integer is an error; an empty ta
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +56,17 @@ BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 GATHER = 2_000_000
 
 
+def _classes() -> np.ndarray:
+    least = [1]
+    while least[-1] < 2**40:
+        least.append(least[-1] * 100 // PERCENT + 1)
+    return np.array(least, np.int64)
+
+
+#: The smallest size of each class of sizes: two sets that link are of one class or of neighbours.
+CLASSES = _classes()
+
+
 def need(a, b):
     """The smallest overlap of sets of ``a`` and ``b`` shingles that reaches the threshold."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -375,56 +390,115 @@ def components(edges: DataFrame, label: str = "components", most: int = 60) -> D
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def _verified(docs: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
+def _size_class(n):
+    return np.searchsorted(CLASSES, n, "right") - 1
+
+
+def _blocks(blocks: DataFrame, same: DataFrame, parts: int) -> tuple[_Files, _Files]:
+    """By node its block, whether that is dealt into parts, and its copies; by ``_dealt_key`` of a dealt block and a size class the parts."""
+    rows, shingles = F.count("*"), F.sum("n")
+    k = F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("bigint").alias("k")
+    dealt = blocks.groupBy("component").agg(k).select("component", (F.col("k") > 1).cast("bigint").alias("dealt"))
+    blocks = blocks.join(dealt, "component")
+    known = _files(blocks.select(F.col("node").alias("doc_id"), "component", "dealt", "copies"), parts, "jaccard-blocks", ("component", "dealt", "copies"))
+    own = blocks.where("dealt = 1").select(F.col("node").alias("rep"), "component").join(same.select("rep", "n"), "rep")
+    size_class = F.size(F.filter(F.lit(CLASSES.tolist()), lambda least: least <= F.col("n"))) - 1
+    key = F.shiftleft("component", 7).bitwiseXOR(size_class.cast("bigint")).alias("doc_id")
+    return known, _files(own.select(key, "n").groupBy("doc_id").agg(k), parts, "jaccard-parts", ("k",))
+
+
+def _dealt_key(component: np.ndarray, size_class: np.ndarray) -> np.ndarray:
+    return (component << np.int64(7)) ^ size_class
+
+
+def _solved(ids: list[int], own: list[np.ndarray], documents: list[int], first: int | None, schema: list[str]) -> pa.RecordBatch:
+    """Rows (a, b, n) of the links between sets, null in the other columns of ``schema``."""
+    copies = np.array([documents, [0] * len(ids)], np.int64)
+    pairs = links(own, first, copies) if len(ids) > 1 else []
+    some = np.flatnonzero(copies[1]).tolist()
+    a, b = [ids[i] for i, _ in pairs] + [ids[i] for i in some], [ids[j] for _, j in pairs] + [None] * len(some)
+    cols = [pa.array(x, pa.int64()) for x in (a, b, [None] * len(pairs) + copies[1, some].tolist())]
+    return pa.RecordBatch.from_arrays(cols + [pa.nulls(len(a), pa.int64())] * (len(schema) - 3), schema)
+
+
+def _read(path: str) -> tuple[list[int], list[np.ndarray], list[int]]:
+    ids, documents, ends, shingles = (_mapped(f"{path}.{c}.npy") for c in ("ids", "documents", "ends", "shingles"))
+    return ids.tolist(), [shingles[e - n : e] for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)], documents.tolist()
+
+
+def _verified(docs: DataFrame, blocks: DataFrame, same: DataFrame, parts: int) -> DataFrame:
     """(a, b, n): a spanning forest of the verified links inside every block, and with a null ``b`` numbers of documents that ``a`` is linked with."""
-    sizes = blocks.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("k"))
-    known = _files(blocks.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "k", "copies"), parts, "jaccard-blocks", ("component", "k", "copies"))
+    known, dealt = _blocks(blocks, same, parts)
+    folder = f"{_mounted(shared_dir(docs.sparkSession))}/jaccard-sets-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    place, result = ["component", "class", "part"], ["a", "b", "n"]
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in kernel.slices(batches):
             ids, real = _ids(b)
             h = _id_hash(ids)
             there, component = known.find(h, "component")
-            _, k = known.find(h, "k")
+            _, cut = known.find(h, "dealt")
             _, copies = known.find(h, "copies")
             chosen = np.flatnonzero(real & there)
             if not len(chosen):
                 continue
-            rows = []
-            for i, s in zip(chosen.tolist(), sets(b.column("text").take(pa.array(chosen))), strict=True):
-                own = int(h[i] % U64(k[i]))
-                for other in range(int(k[i])):  # a part meets every other part, and itself, in one task each
-                    lo, hi = min(own, other), max(own, other)
-                    rows.append((int(component[i]), lo, hi, int(own != lo), int(ids[i]), int(copies[i]), s.tobytes()))
-            cols = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["component", "lo", "hi", "side", "doc_id", "copies", "shingles"])
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-            rows = list({(*r[:2], r[3]): r for r in rows}.values())  # repeated rows
-            first = sum(r[0] == 0 for r in rows) if key[1] != key[2] else None
-            own = [np.frombuffer(r[3], U64) for r in rows]
-            copies = np.array([[r[2] for r in rows], [0] * len(rows)], np.int64)
-            pairs = links(own, first, copies) if len(rows) > 1 and first != 0 and first != len(rows) else []
-            ids = [r[1] for r in rows]
-            some = np.flatnonzero(copies[1]).tolist()
-            a, b = [ids[i] for i, _ in pairs] + [ids[i] for i in some], [ids[j] for _, j in pairs] + [None] * len(some)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, [None] * len(pairs) + copies[1, some].tolist())], ["a", "b", "n"])
+            own = sets(b.column("text").take(pa.array(chosen)))
+            chosen, own = chosen[[len(s) > 0 for s in own]], [s for s in own if len(s)]
+            component, cut = component[chosen], cut[chosen] == 1
+            size_class = np.where(cut, _size_class(np.array([len(s) for s in own])), -1)
+            _, k = dealt.find(_id_hash(_dealt_key(component, size_class)), "k")
+            part = np.where(cut, (h[chosen] % np.maximum(k, 1).astype(U64)).astype(np.int64), -1)
+            cols = [pa.array(x, pa.int64()) for x in (component, size_class, part, ids[chosen], copies[chosen])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in own], pa.binary())], [*place, "doc_id", "copies", "shingles"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links inside whole blocks and inside parts; a part is written too, for its tasks with other parts, and told."""
+
+        def done(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = list({(r[0], r[2]): r for r in rows}.values())  # repeated rows
+            ids, documents, own = [r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], U64) for r in rows]
+            if key[2] >= 0:
+                ends = np.cumsum([len(s) for s in own])
+                _save(_part_path(folder, *key), ids=np.array(ids, np.int64), documents=np.array(documents, np.int64), ends=ends, shingles=np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([x], pa.int64()) for x in key], [*result, *place])
+            yield _solved(ids, own, documents, None, [*result, *place])
 
         at, rows = None, []
         for b in batches:
-            for c, lo, hi, *row in zip(*(b.column(x).to_pylist() for x in ("component", "lo", "hi", "side", "doc_id", "copies", "shingles")), strict=True):
-                if (c, lo, hi) != at and rows:
-                    yield done(at, rows)
+            for c, size_class, part, *row in zip(*(b.column(x).to_pylist() for x in (*place, "doc_id", "copies", "shingles")), strict=True):
+                if (c, size_class, part) != at and rows:
+                    yield from done(at, rows)
                     rows = []
-                at = (c, lo, hi)
+                at = (c, size_class, part)
                 rows.append(tuple(row))
         if rows:
-            yield done(at, rows)
+            yield from done(at, rows)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between two parts, which are read from their files."""
+        for b in batches:
+            for r in b.to_pylist():
+                ids, own, documents = _read(_part_path(folder, r["component"], r["class"], r["part"]))
+                others = _read(_part_path(folder, r["component"], r["with_class"], r["with_part"]))
+                yield _solved(ids + others[0], own + others[1], documents + others[2], len(ids), result)
+
+    sent = docs.select("doc_id", "text").mapInArrow(kernel.trimmed(out), "component bigint, class bigint, part bigint, doc_id bigint, copies bigint, shingles binary")
+    dealt_out = sent.repartition(parts, *place).sortWithinPartitions(*place)
+    found = stored(dealt_out.mapInArrow(kernel.trimmed(within), "a bigint, b bigint, n bigint, component bigint, class bigint, part bigint"), "jaccard-links")
+    told = found.where("component IS NOT NULL").select(*place)
+    if told.isEmpty():
+        return found.select(*result)
+    near = told.select("*", F.explode(F.array("class", F.col("class") + 1)).alias("with_class"))
+    pairs = near.join(told.select("component", F.col("class").alias("with_class"), F.col("part").alias("with_part")), ["component", "with_class"])
+    pairs = pairs.where("with_class > class OR with_part > part").repartition(parts, *place, "with_class", "with_part")
+    more = stored(pairs.mapInArrow(kernel.trimmed(across), "a bigint, b bigint, n bigint"), "jaccard-links")
+    shutil.rmtree(folder, ignore_errors=True)
+    return found.where("component IS NULL").select(*result).unionByName(more)
+
 
-    sent = docs.select("doc_id", "text").mapInArrow(kernel.trimmed(out), "component bigint, lo int, hi int, side int, doc_id bigint, copies bigint, shingles binary")
-    return sent.repartition(parts, "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "side").mapInArrow(kernel.trimmed(solve), "a bigint, b bigint, n bigint")
+def _part_path(folder: str, component: int, size_class: int, part: int) -> str:
+    return f"{folder}/{component}_{size_class}_{part}"
 
 
 def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -464,7 +538,7 @@ def _groups(docs: DataFrame, parts: int | None) -> DataFrame:
     passed = wanted.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(kernel.trimmed(_passing), "a bigint, b bigint")
     blocks = stored(components(passed.unionByName(pairs.where("NOT tested").select("a", "b")), "jaccard-blocks"), "jaccard-blocks")
     copies = same.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("n").alias("n")).withColumnRenamed("rep", "node")
-    found = stored(_verified(docs, blocks.join(copies, "node"), parts), "jaccard-links")
+    found = _verified(docs, blocks.join(copies, "node"), same, parts)
     groups = components(found.where("b IS NOT NULL"), "jaccard-groups").withColumnRenamed("node", "rep")
     linked = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     n_links = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")

@@ -401,6 +401,33 @@ def test_jaccard_texts_under_one_id(spark):
     assert got == {(5, 5), (9, 5), (8, 5), (7, 7)}
 
 
+def test_jaccard_large_block_is_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rng = random.Random(70)
+    pool = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10)) for _ in range(20)]
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(12))) for i in range(600)]  # shingles that many share: one block, few links
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(frame(spark, *[(i, t, None) for i, t in docs])).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == brute_groups(docs)
+    sets = 8 * sum(n for n, _ in got.values())
+    assert written() - before < 8 * sets
+
+
+@pytest.mark.parametrize("block", [512, 5])
+def test_jaccard_links_cross_size_classes(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    base = prose(71, 400).split()
+    docs = [(i, " ".join(base[: 20 + 4 * i])) for i in range(80)]
+    rows = [(i, t, None) for i, t in docs] + [(3, "", None), (70, " ", None)]  # two ids have an empty text besides, which links nothing
+    want = brute_links(docs)
+    got = {(r["doc_id"], r["n_links"]) for r in jaccard_join.jaccard_groups(frame(spark, *rows)).where("n_shingles > 0").collect()}
+    assert got == set(want.items())
+    least = jaccard_join.CLASSES.tolist()
+    assert all(100 * (b - 1) < 80 * c for b, c in zip(least[1:], least[2:], strict=False))
+
+
 def test_lost_hash_files_are_an_error(spark):
     import glob
     import os
