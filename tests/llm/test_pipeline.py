@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from keyloom.llm import byte_bpe, toxicity
+from keyloom.llm import byte_bpe, jaccard_join, toxicity
 from tests.llm.test_operators import brute_groups, brute_windows, edited, prose
 
 SECRET = "token = \"0123456789abcdef0123456789abcdef\""
@@ -75,3 +76,18 @@ def test_rows_that_share_an_id_stay_or_go_together(spark, tmp_path):
     left = corpus_pipeline.without_near_copies(spark, docs, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([r for r in rows if r[0] != 2], key=str)
+
+
+def test_near_copies_of_a_large_block_are_sent_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    rng = random.Random(72)
+    pool = [" ".join(f"w{rng.randrange(5000)}" for _ in range(10)) for _ in range(20)]
+    texts = [(i, " ".join(rng.choice(pool) for _ in range(14))) for i in range(600)]  # one block, few links
+    texts += [(1000 + i, texts[i][1] + " tail") for i in range(0, 600, 20)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    left = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), str(tmp_path)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    groups = brute_groups(texts)
+    assert sorted(r["doc_id"] for r in left) == sorted(i for i, _ in texts if groups[i][1] == i)
+    assert written() - before < 8 * 8 * sum(n for n, _ in groups.values())
