@@ -11,6 +11,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,21 +46,41 @@ def stored(df: DataFrame, label: str, spark: SparkSession | None = None) -> Data
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """The driver's JVM gives free native memory back to the system. Plans of many passes come and go on hundreds of threads, and the C
+    library keeps what they freed in an arena for every few of them, without end. Where the JVM has no such command, nothing happens."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    types, values = array(jvm.java.lang.Class, len(kinds)), array(jvm.java.lang.Object, len(kinds))
+    for i, kind in enumerate(kinds):
+        types[i] = jvm.java.lang.Class.forName(kind)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", types)  # the server's own class is closed
+    with contextlib.suppress(Py4JJavaError):
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of an action go when it ends, not when the driver collects its garbage: several passes over the corpus
     then need the disk of one. An action that is run again makes its shuffle again.
 
     Before and after, the driver collects its garbage, as Spark does by itself every half hour (``spark.cleaner.periodicGC.interval``):
-    broadcasts and plans of earlier passes go from all machines, and the driver's heap does not start from its fullest.
+    broadcasts and plans of earlier passes go from all machines, and the driver's heap does not start from its fullest. Its free native
+    memory goes, too.
     """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
-    collect = spark.sparkContext._jvm.System.gc
+
+    def collect() -> None:
+        spark.sparkContext._jvm.System.gc()
+        trim_driver(spark)
+
     collect()
     try:
         yield

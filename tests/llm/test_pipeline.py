@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import tiktoken
 
 import corpus_pipeline
 from keyloom.llm import byte_bpe, jaccard_join, toxicity
+from keyloom.llm.common import shuffles_removed, stored
 from tests.llm.test_operators import brute_groups, brute_windows, edited, prose
 
 SECRET = "token = \"0123456789abcdef0123456789abcdef\""
@@ -91,3 +93,41 @@ def test_near_copies_of_a_large_block_are_sent_once(spark, tmp_path, monkeypatch
     groups = brute_groups(texts)
     assert sorted(r["doc_id"] for r in left) == sorted(i for i, _ in texts if groups[i][1] == i)
     assert written() - before < 8 * 8 * sum(n for n, _ in groups.values())
+
+
+def test_the_driver_gives_free_native_memory_back(spark):
+    jvm = spark.sparkContext._jvm
+    native, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident(addresses: list[int]) -> float:
+        """MB in memory of the mappings that hold the addresses."""
+        total, counts = 0, False
+        with open(f"/proc/{pid}/smaps") as f:
+            for line in f:
+                if m := re.match(r"([0-9a-f]+)-([0-9a-f]+) ", line):
+                    counts = any(int(m[1], 16) <= a < int(m[2], 16) for a in addresses)
+                elif counts and line.startswith("Anonymous:"):
+                    total += int(line.split()[1]) / 1024
+        return total
+
+    def given_back(step) -> float:
+        """MB of 100 that the step gives back, free but for a few bytes in a hundred KB."""
+        blocks = [(native.allocateMemory(98_304), native.allocateMemory(64)) for _ in range(1024)]
+        large = [a for a, _ in blocks]
+        for a in large:
+            native.setMemory(a, 1, 98_304)
+        for a in large:
+            native.freeMemory(a)
+        held = resident(large)
+        step()
+        left = resident(large)
+        for _, small in blocks:
+            native.freeMemory(small)
+        return held - left
+
+    def inside():
+        with shuffles_removed(spark):
+            pass
+
+    assert given_back(inside) > 60
+    assert given_back(lambda: stored(spark.range(1), "native")) > 60
