@@ -8,17 +8,19 @@ Distribution. An R-tree over all documents would be one task, so trees are built
 
 1. Documents with equal sets are one node (the smallest doc_id stands for them).
 2. Prefix filter: under any one order of all shingles, two sets of 80 % overlap share a shingle among the first
-   n - ceil(0.8 n) + 1 of each. The order is by hash, except that shingles frequent in hash-order prefixes (over ``FREQUENT``
-   documents) come last. Frequencies and shared shingles are counted over all documents in blobs of packed hashes.
-3. Documents that share a prefix shingle are candidates. Up to ``FREQUENT`` documents, all their pairs are, if their sizes and
-   count vectors allow 80 %; more documents, all of them but 80 % frequent shingles, are sorted by size, cut where one size is below
-   80 % of the next, and tied to the first of their run without a test. Nothing is dropped.
+   n - ceil(0.8 n) + 1 of each. The order is by hash, except that shingles of over ``FREQUENT`` documents come last, the rarer of them
+   first: then copies of a text meet at shingles of their own before they meet others at a passage that many texts have. Frequencies
+   of all shingles and shared shingles of prefixes are counted over all documents in blobs of packed hashes.
+3. Documents that share a prefix shingle are candidates. Up to ``FREQUENT`` documents, all their pairs are, if their sizes, the places of
+   the shingle and the count vectors allow 80 %; more documents, all of them but 80 % frequent shingles, are sorted by size, cut where
+   one size is below 80 % of the next, and tied to the first of their run without a test. Nothing is dropped.
 4. Components of the candidate pairs are the blocks: no link leaves one. A block of up to ``BLOCK`` documents and
    ``BLOCK_SHINGLES`` shingles is one task's R-tree; a larger one is dealt by size class, so that links are inside a class or between
    neighbours (``CLASSES``), and each class into parts of that size. Every document is sent to its part alone, which is written once
    into the shared folder; each pair of parts that may hold links is a piece of work of its own that reads both files, so that no work
-   grows with a group and disk grows with the documents only. The files go when the links are known. Every link of a group is verified
-   and counted, and a group of n different texts may have n * n / 2 of them.
+   grows with a group and disk grows with the documents only. The more of all sets are in blocks, the more turns (up to ``TURNS``) they
+   are sent in, as the shuffle of a turn is on disk beside the files. The files go when the links are known. Every link of a group is
+   verified and counted, and a group of n different texts may have n * n / 2 of them.
 5. Every pair of different sets that passes the bound is verified. Tasks emit a spanning forest of the links and, for every set,
    the number of documents it is linked with, never the pairs; components of the forest are the groups.
 
@@ -33,6 +35,7 @@ counts links of texts); a doc_id that is not an integer is an error; an empty ta
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import uuid
@@ -47,13 +50,15 @@ from pyspark.sql import functions as F
 from keyloom.llm import kernel
 from keyloom.llm.common import shared_dir, shuffles_removed, stored, table, workers_find_package
 from keyloom.llm.kernel import U64
-from keyloom.llm.language_model import _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked
+from keyloom.llm.language_model import _LEADING, _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked
 
 WIDTH, PERCENT = 5, 80
 FREQUENT, LEAF = 8, 64
 #: Documents and shingles of a block that is not dealt into parts.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 GATHER = 2_000_000
+#: Passes in which the sets are sent to their blocks, if all sets are in blocks.
+TURNS = 4
 
 
 def _classes() -> np.ndarray:
@@ -271,7 +276,7 @@ def _files(df: DataFrame, parts: int, label: str, columns: tuple[str, ...] = ())
 
 
 def _prefixes(docs: DataFrame, reps: _Files, frequent: _Files | None, emit, schema: str) -> DataFrame:
-    """``emit(ids, sizes, prefixes)`` for gathered prefixes of representatives, frequent shingles ordered last."""
+    """``emit(ids, sizes, prefixes)`` for gathered prefixes of representatives, frequent shingles ordered last; for whole sets without ``frequent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray]] = []
@@ -283,12 +288,12 @@ def _prefixes(docs: DataFrame, reps: _Files, frequent: _Files | None, emit, sche
                 continue
             own = sets(b.column("text").take(pa.array(chosen)))
             if frequent is not None:
-                known = frequent.find(np.concatenate(own))[0]
+                count = frequent.find(np.concatenate(own) & _LEADING, "count")[1]
                 ends = np.cumsum([len(s) for s in own])
-                own = [s if not (f := known[e - len(s) : e]).any() else np.concatenate([s[~f], s[f]]) for s, e in zip(own, ends, strict=True)]
+                own = [s[np.argsort(c, kind="stable")] if (c := count[e - len(s) : e]).any() else s for s, e in zip(own, ends, strict=True)]
             for i, s in zip(chosen.tolist(), own, strict=True):
                 if len(s):
-                    held.append((int(ids[i]), len(s), s[: prefix_size(len(s))]))
+                    held.append((int(ids[i]), len(s), s if frequent is None else s[: prefix_size(len(s))]))
                     n += len(held[-1][2])
             if n >= GATHER:
                 yield from emit(*zip(*held, strict=True))
@@ -300,18 +305,20 @@ def _prefixes(docs: DataFrame, reps: _Files, frequent: _Files | None, emit, sche
 
 
 def _counted(docs: DataFrame, reps: _Files, frequent: _Files | None, parts: int, over: int, label: str) -> _Files:
-    """The hashes in the prefixes of more than ``over`` representatives."""
+    """The hashes in the prefixes of more than ``over`` representatives; without ``frequent``, the leading 56 bits of those in whole sets, with their counts."""
     files = _Files(f"{_mounted(shared_dir(docs.sparkSession))}/{label}-{uuid.uuid4().hex}", parts)
 
     def emit(ids, sizes, prefixes) -> Iterator[pa.RecordBatch]:
-        keys, c = np.unique(np.concatenate(prefixes), return_counts=True)
-        return _blobs(keys, [np.minimum(c, over + 1).astype(np.uint8)], parts)
+        every = np.concatenate(prefixes)
+        keys, c = np.unique(every & _LEADING if frequent is None else every, return_counts=True)
+        return _blobs(keys, [np.minimum(c, 255).astype(np.uint8)], parts)
 
     def merge(rows: list[dict]) -> dict[str, np.ndarray]:
         keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
         c = np.concatenate([np.frombuffer(r["v0"], np.uint8) for r in rows]).astype(np.int64)
         order, first = _grouped(keys)
-        return {"keys": keys[order][first][np.add.reduceat(c[order], first) > over]}
+        c = np.add.reduceat(c[order], first)
+        return {"keys": keys[order][first][c > over]} | ({"count": np.minimum(c[c > over], 65_535).astype(np.uint16)} if frequent is None else {})
 
     return files.take(_prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary"), merge)
 
@@ -323,18 +330,20 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
         lengths = [len(p) for p in prefixes]
         keys = np.concatenate(prefixes)
         doc, size = np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
         both = np.flatnonzero(shared.find(keys)[0])
         if len(both):
             order = both[np.argsort(keys[both])]
-            yield from _blobs(keys[order], [doc[order], size[order]], parts)
+            yield from _blobs(keys[order], [doc[order], size[order], place[order]], parts)
 
     def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_part(batches):
             keys = np.concatenate([_unpacked(r["keys"]) for r in rows])
             doc = np.concatenate([np.frombuffer(r["v0"], np.int64) for r in rows])
             size = np.concatenate([np.frombuffer(r["v1"], np.int32) for r in rows]).astype(np.int64)
+            spare = size - np.concatenate([np.frombuffer(r["v2"], np.int32) for r in rows])  # the shingles from this one on
             order = np.lexsort((doc, size, keys))
-            keys, doc, size = keys[order], doc[order], size[order]
+            keys, doc, size, spare = keys[order], doc[order], size[order], spare[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             count = np.diff(np.concatenate([first, [len(keys)]]))
             place = np.arange(len(keys)) - np.repeat(first, count)
@@ -342,8 +351,7 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
             pairs = []
             for step in range(1, FREQUENT):  # all pairs of few documents: each with the one ``step`` places later
                 i = np.flatnonzero(few & (place + step < np.repeat(count, count)))
-                small, large = np.minimum(size[i], size[i + step]), np.maximum(size[i], size[i + step])
-                i = i[100 * small >= PERCENT * large]
+                i = i[np.minimum(spare[i], spare[i + step]) >= need(size[i], size[i + step])]  # else no link whose first common shingle this is
                 pairs.append(np.stack([doc[i], doc[i + step]]))
             tested = np.unique(np.concatenate(pairs, axis=1), axis=1)
             run = np.concatenate([[True], (keys[1:] != keys[:-1]) | (100 * size[:-1] < PERCENT * size[1:])])  # no link crosses such a gap of sizes
@@ -354,7 +362,7 @@ def _candidates(docs: DataFrame, reps: _Files, frequent: _Files, shared: _Files,
             flag = np.concatenate([np.ones(tested.shape[1], bool), np.zeros(star.shape[1], bool)])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(flag)], ["a", "b", "tested"])
 
-    sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary, v1 binary")
+    sent = _prefixes(docs, reps, frequent, emit, "part int, keys binary, v0 binary, v1 binary, v2 binary")
     return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(kernel.trimmed(into), "a bigint, b bigint, tested boolean").where("a <> b")
 
 
@@ -426,21 +434,27 @@ def _read(path: str) -> tuple[list[int], list[np.ndarray], list[int]]:
     return ids.tolist(), [shingles[e - n : e] for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)], documents.tolist()
 
 
+def _turn(component: np.ndarray, size_class, part, turns: int) -> np.ndarray:
+    return (kernel.mix(_id_hash(component) ^ _id_hash(_dealt_key(np.asarray(part, np.int64), size_class))) % U64(turns)).astype(np.int64)
+
+
 def _verified(docs: DataFrame, blocks: DataFrame, same: DataFrame, parts: int) -> DataFrame:
     """(a, b, n): a spanning forest of the verified links inside every block, and with a null ``b`` numbers of documents that ``a`` is linked with."""
     known, dealt = _blocks(blocks, same, parts)
     folder = f"{_mounted(shared_dir(docs.sparkSession))}/jaccard-sets-{uuid.uuid4().hex}"
     os.makedirs(folder)
     place, result = ["component", "class", "part"], ["a", "b", "n"]
+    inside, every = blocks.agg(F.sum("n")).first()[0] or 0, same.agg(F.sum("n")).first()[0] or 1
+    turns = max(1, min(TURNS, -(-TURNS * inside // every)))
 
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for b in kernel.slices(batches):
             ids, real = _ids(b)
             h = _id_hash(ids)
             there, component = known.find(h, "component")
             _, cut = known.find(h, "dealt")
             _, copies = known.find(h, "copies")
-            chosen = np.flatnonzero(real & there)
+            chosen = np.flatnonzero(real & there & ((cut == 1) | (_turn(component, -1, -1, turns) == turn)))
             if not len(chosen):
                 continue
             own = sets(b.column("text").take(pa.array(chosen)))
@@ -449,7 +463,9 @@ def _verified(docs: DataFrame, blocks: DataFrame, same: DataFrame, parts: int) -
             size_class = np.where(cut, _size_class(np.array([len(s) for s in own])), -1)
             _, k = dealt.find(_id_hash(_dealt_key(component, size_class)), "k")
             part = np.where(cut, (h[chosen] % np.maximum(k, 1).astype(U64)).astype(np.int64), -1)
-            cols = [pa.array(x, pa.int64()) for x in (component, size_class, part, ids[chosen], copies[chosen])]
+            now = _turn(component, size_class, part, turns) == turn
+            own = [s for s, x in zip(own, now.tolist(), strict=True) if x]
+            cols = [pa.array(x[now], pa.int64()) for x in (component, size_class, part, ids[chosen], copies[chosen])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in own], pa.binary())], [*place, "doc_id", "copies", "shingles"])
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,9 +499,12 @@ def _verified(docs: DataFrame, blocks: DataFrame, same: DataFrame, parts: int) -
                 others = _read(_part_path(folder, r["component"], r["with_class"], r["with_part"]))
                 yield _solved(ids + others[0], own + others[1], documents + others[2], len(ids), result)
 
-    sent = docs.select("doc_id", "text").mapInArrow(kernel.trimmed(out), "component bigint, class bigint, part bigint, doc_id bigint, copies bigint, shingles binary")
-    dealt_out = sent.repartition(parts, *place).sortWithinPartitions(*place)
-    found = stored(dealt_out.mapInArrow(kernel.trimmed(within), "a bigint, b bigint, n bigint, component bigint, class bigint, part bigint"), "jaccard-links")
+    found = None
+    for turn in range(turns):
+        sent = docs.select("doc_id", "text").mapInArrow(kernel.trimmed(functools.partial(out, turn=turn)), "component bigint, class bigint, part bigint, doc_id bigint, copies bigint, shingles binary")
+        dealt_out = sent.repartition(parts, *place).sortWithinPartitions(*place)
+        solved = stored(dealt_out.mapInArrow(kernel.trimmed(within), "a bigint, b bigint, n bigint, component bigint, class bigint, part bigint"), "jaccard-links")
+        found = solved if found is None else found.unionByName(solved)
     told = found.where("component IS NOT NULL").select(*place)
     if told.isEmpty():
         return found.select(*result)

@@ -95,6 +95,46 @@ def test_near_copies_of_a_large_block_are_sent_once(spark, tmp_path, monkeypatch
     assert written() - before < 8 * 8 * sum(n for n, _ in groups.values())
 
 
+def copied_texts():
+    """Twelve near copies of each of 60 texts; every passage at their ends is in three of the texts."""
+    texts = [prose(100 + i, 70) + " " + prose(500 + i // 3, 15) + " " + prose(600 + (i + 1) // 3, 15) for i in range(60)]
+    return [(100 * i + k, edited(text, 100 * i + k, 1)) for i, text in enumerate(texts) for k in range(12)]
+
+
+def test_blocks_of_near_copies_stay_apart_from_texts_that_share_passages(spark, tmp_path, monkeypatch):
+    largest, own = [], jaccard_join._blocks
+    monkeypatch.setattr(jaccard_join, "_blocks", lambda blocks, *a: (largest.append(max(r["count"] for r in blocks.groupBy("component").count().collect())), own(blocks, *a))[1])
+    texts = copied_texts()
+    left = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), str(tmp_path)).collect()
+    groups = brute_groups(texts)
+    assert sorted(r["doc_id"] for r in left) == sorted(i for i, _ in texts if groups[i][1] == i) and len(left) == 60
+    assert largest == [12]
+
+
+@pytest.mark.parametrize("block", [512, 1])
+def test_sets_of_near_copies_are_sent_in_turns(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)  # 1: every block is dealt into parts
+    texts = [(1000 * k + i, edited(prose(100 + i, 150), 1000 * k + i, 1)) for k in range(2) for i in range(300)]  # every set is in a block
+    sc, sent, own = spark.sparkContext._jsc.sc(), [], jaccard_join.stored
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    def stored(df, label, *more):
+        before = written()
+        out = own(df, label, *more)
+        sent.append((label, written() - before))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    left = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), str(tmp_path)).collect()
+    groups = brute_groups(texts)
+    assert sorted(r["doc_id"] for r in left) == sorted(i for i, _ in texts if groups[i][1] == i) and len(left) == 300
+    sets, links = 8 * sum(n for n, _ in groups.values()), [n for label, n in sent if label == "jaccard-links"]
+    assert sum(links) > 0.8 * sets and max(links) < 0.5 * sets  # all are sent, but not at once
+
+
 def test_the_driver_gives_free_native_memory_back(spark):
     jvm = spark.sparkContext._jvm
     native, pid = jvm.org.apache.spark.unsafe.Platform, jvm.java.lang.ProcessHandle.current().pid()
