@@ -71,13 +71,16 @@ def order_violations(entries: DataFrame, by: str = "file_number") -> DataFrame:
 
 
 def metadata_mismatches(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """File numbers on which the manifest and the files disagree (range, entries, size), or that only one of them knows."""
+    """File numbers on which the manifest and the files disagree (range, entries, size), or that only one of them knows.
+
+    Files are matched by level and number: numbers of two levels may meet. A file on another level than listed counts on both.
+    """
     cols = ["smallest_key", "largest_key", "entry_count", "file_size_bytes"]
-    f = files.select("file_number", *[F.col(c).alias(f"_{c}") for c in cols])
+    f = files.select("level", "file_number", *[F.col(c).alias(f"_{c}") for c in cols])
     same = F.lit(True)
     for c in cols:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return manifest.join(f, "file_number", "full_outer").where(~same).select("file_number")
+    return manifest.join(f, ["level", "file_number"], "full_outer").where(~same).select("file_number")
 
 
 def may_contain(keys: DataFrame, bits: DataFrame, probes: Column) -> DataFrame:

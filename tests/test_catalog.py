@@ -28,3 +28,14 @@ def test_query(spark, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(names, cur.fetchall()) == rows(df.columns, df.collect())
+
+
+def test_file_numbers_of_both_levels(spark, tmp_path):
+    """A log of more than a million changes: numbers of its level-0 files meet those of the level-1 files, from 1,001."""
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW e AS SELECT * FROM read_parquet('{DATA}/events.parquet')")
+    db.execute(f"COPY (SELECT * FROM e UNION ALL SELECT e.* REPLACE (e.event_id + 1000000 + 1000 * k AS event_id) FROM e, unnest(range(7)) AS t(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = db.execute(catalog.oracle_sql()["manifest_file_check"]).fetchall()
+    assert len({r[0] for r in want}) < len(want)
+    assert rows(["file_number"], want) == rows(["file_number"], catalog.queries()["manifest_file_check"](spark, str(tmp_path)).collect())

@@ -113,6 +113,13 @@ def test_metadata_mismatches(spark):
     assert sorted(r["file_number"] for r in metadata.metadata_mismatches(t, other).collect()) == [1, 2, 3]
 
 
+def test_metadata_mismatches_of_equal_numbers(spark):
+    listed = tables(spark, (1, 0, "a", "b"), (1, 1, "c", "d"), (2, 0, "a", "b"), (2, 1, "c", "d"))
+    files = tables(spark, (1, 0, "a", "b"), (1, 1, "c", "d"), (2, 0, "a", "x"), (2, 1, "c", "x"))
+    assert [r["file_number"] for r in metadata.metadata_mismatches(listed, listed).collect()] == []
+    assert [r["file_number"] for r in metadata.metadata_mismatches(listed, files).collect()] == [2, 2]
+
+
 def test_functions(spark):
     df = spark.createDataFrame([("alpine", "alps"), ("a", "a"), ("", "x"), (None, "x")], "a string, b string")
     rows = df.select(scalar.fnv1a32(F.col("a")).alias("h"), scalar.shared_prefix(F.col("a"), F.col("b")).alias("s")).collect()
