@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import kernel
 from keyloom.llm.common import shared_dir, shuffles_removed, stored, table, workers_find_package
 from keyloom.llm.kernel import U64
-from keyloom.llm.language_model import _LEADING, _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked
+from keyloom.llm.language_model import _LEADING, _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked, parts_for
 
 WIDTH, PERCENT = 5, 80
 FREQUENT, LEAF = 8, 64
@@ -528,7 +528,7 @@ def jaccard_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 def _groups(docs: DataFrame, parts: int | None) -> DataFrame:
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

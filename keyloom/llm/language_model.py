@@ -15,7 +15,8 @@ The lower orders count distinct left neighbours; start tokens stand before a tex
 their leading bits, and values only for n-grams that are not ``plain``: seen once, with one left neighbour, and as a context followed by
 one word once. Shuffle files go when their pass ends.
 
-Hash parts balance whatever the words are. Files are written under a temporary name and renamed, so a task may run again; a file that
+Hash parts balance whatever the words are, and their number follows the text, so that a task sorts about as much whatever the table. A
+worker gives up the pages of mapped files after every ``READ_BYTES`` of them. Files are written under a temporary name and renamed, so a task may run again; a file that
 was written and is gone is an error. Memory mapping needs the shared folder as a mounted path; another kind of store is refused.
 
 Scores are log10. A text is its words and one end token; the first word's context is a start token.
@@ -28,6 +29,8 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
+import mmap
 import os
 import uuid
 from collections.abc import Iterator
@@ -49,6 +52,8 @@ START, END = U64(0x535441525400), U64(0x454E4400)
 ORDER = 3
 #: Tokens gathered before a map task sends its blobs, and bytes of text scored at once.
 GATHER, SCORE_BYTES = 3_000_000, 6_000_000
+#: Bytes of text for each part, and bytes of files read before a worker gives up their pages.
+PART_BYTES, READ_BYTES = 16_000_000, 64_000_000
 
 
 def _mounted(uri: str) -> str:
@@ -126,6 +131,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return out.reshape(-1).view(U64) | (np.repeat(lead, runs).astype(U64) << U64(48))
 
 
+def parts_for(docs: DataFrame) -> int:
+    """Parts of the hash arrays over ``docs.text``: one for each shuffle partition, and more where these would hold over ``PART_BYTES`` of
+    text, as a task sorts a part in memory."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
 def _save(path: str, **arrays: np.ndarray) -> None:
     for name, a in arrays.items():
         part = f"{path}.{name}.{uuid.uuid4().hex}"
@@ -134,19 +146,69 @@ def _save(path: str, **arrays: np.ndarray) -> None:
         os.replace(part, f"{path}.{name}.npy")
 
 
+def _save_table(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of several arrays: the length of a header, the header (type, place and length of each array), and the arrays."""
+    arrays = {c: np.ascontiguousarray(a) for c, a in arrays.items()}
+    at, places = 4096, {}
+    for c, a in arrays.items():
+        places[c] = (a.dtype.str, at, len(a))
+        at += -(-a.nbytes // 64) * 64
+    head = json.dumps(places).encode()
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for c, a in arrays.items():
+            f.seek(places[c][1])
+            f.write(a)
+        f.truncate(at)
+    os.replace(part, path)
+
+
+@functools.lru_cache(maxsize=4096)
+def _table(path: str) -> tuple[mmap.mmap, dict[str, np.ndarray]]:
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    places = json.loads(data[8 : 8 + int.from_bytes(data[:8], "little")])
+    return data, {c: np.frombuffer(data, kind, n, at) for c, (kind, at, n) in places.items()}
+
+
 @functools.lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray:
     return np.asarray(np.load(path, mmap_mode="r"))
 
 
-kernel.FORGET.append(_mapped.cache_clear)
+_read: set[mmap.mmap] = set()
+
+
+def _done_with(*data: mmap.mmap) -> None:
+    """Files that were just read. Beyond ``READ_BYTES`` of them, their pages leave this worker's memory (the system may still keep them)."""
+    _read.update(data)
+    if sum(map(len, _read)) > READ_BYTES:
+        for d in _read:
+            d.madvise(mmap.MADV_DONTNEED)
+        _read.clear()
+
+
+kernel.FORGET += [_mapped.cache_clear, _table.cache_clear, _read.clear]
+
+
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """The places where a new key begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sorting order and the places where a new key begins in it."""
     order = np.argsort(keys)
-    k = keys[order]
-    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return order, _begins(keys[order])
+
+
+def _taken(held: list[tuple[np.ndarray, ...]]) -> Iterator[np.ndarray]:
+    """The columns of what was gathered, one at a time; ``held`` is empty afterwards, and no column stays when the next is made."""
+    columns = [list(x) for x in zip(*held, strict=True)]
+    held.clear()
+    while columns:
+        yield np.concatenate(columns.pop(0))
 
 
 def _store(base: str, keys: np.ndarray, lead_from: int, parts: int, plain: np.ndarray, **columns: np.ndarray) -> None:
@@ -164,12 +226,11 @@ def _store(base: str, keys: np.ndarray, lead_from: int, parts: int, plain: np.nd
     rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
     narrow = lambda v: v.astype(np.uint32) if not len(v) or 0 <= v.min() and v.max() < 2**32 else v
     kept = {c: v[~plain] if v.dtype.kind == "f" else narrow(v[~plain]) for c, v in columns.items()}
-    _save(base, **kept, low=np.concatenate([low.reshape(-1), np.zeros(8, np.uint8)]), index=narrow(np.concatenate([[bits, first], index])), rich=words, rank=narrow(rank))
+    _save_table(base, kept | {"low": np.concatenate([low.reshape(-1), np.zeros(8, np.uint8)]), "index": narrow(np.concatenate([[bits, first], index])), "rich": words, "rank": narrow(rank)})
 
 
-def _sought(base: str, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sought(low: np.ndarray, index: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the hashes ``q`` those (as places in ``q``) that the file has, and their rows."""
-    low, index = _mapped(f"{base}.low.npy"), _mapped(f"{base}.index.npy")
     bits, first = int(index[0]), int(index[1])
     lead = (q >> U64(64 - bits)).astype(np.int64) - first
     own = np.flatnonzero(lead < len(index) - 3)
@@ -232,19 +293,20 @@ class Model:
         there = np.zeros(self.parts, bool)
         there[self.written.get(kind, [])] = True
         for p in np.flatnonzero((np.diff(cuts) > 0) & there).tolist():
-            base = self.file(kind, p)
-            found, at = _sought(base, ordered[cuts[p] : cuts[p + 1]])
+            data, held = _table(self.file(kind, p))
+            found, at = _sought(held["low"], held["index"], ordered[cuts[p] : cuts[p + 1]])
             to = cuts[p] + found
             for o, c in zip(out, columns, strict=True):
                 o[to] = self._plain(kind, c)
-            word = _mapped(f"{base}.rich.npy")[at >> 6]
+            word = held["rich"][at >> 6]
             bit = (at & 63).astype(U64)
             some = np.flatnonzero((word >> bit) & U64(1))
             if len(some):
                 below = word[some] & ((U64(1) << bit[some]) - U64(1))
-                row = _mapped(f"{base}.rank.npy")[at[some] >> 6].astype(np.int64) + np.bitwise_count(below)
+                row = held["rank"][at[some] >> 6].astype(np.int64) + np.bitwise_count(below)
                 for o, c in zip(out, columns, strict=True):
-                    o[to[some]] = _mapped(f"{base}.{c}.npy")[row]
+                    o[to[some]] = held[c][row]
+            _done_with(data)
         return out
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
@@ -305,16 +367,20 @@ def _blobs(keys: np.ndarray, values: list[np.ndarray], parts: int, columns: int
     cuts = _cuts(keys, parts)
     some = np.flatnonzero(np.diff(cuts)).tolist()
     cols = [pa.array(some, pa.int32()), pa.array([_packed(keys[cuts[p] : cuts[p + 1]]) for p in some], pa.binary())]
-    cols += [pa.array([v[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for v in values]
+    ends = np.append(cuts[some], len(keys))
+    cols += [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))]) for v in values]
     cols += [pa.nulls(len(some), pa.binary())] * ((columns or len(values)) - len(values))
     yield pa.RecordBatch.from_arrays(cols, ["part", "keys", *[f"v{i}" for i in range(len(cols) - 2)]])
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of each part; the input is sorted by part."""
+    """The rows of each part, with views of their blobs; the input is sorted by part."""
     at, rows = None, []
     for b in batches:
-        for r in b.to_pylist():
+        names = b.schema.names
+        views = [[x.as_buffer() for x in b.column(c)] if c != "part" else b.column(c).to_pylist() for c in names]  # no buffer: null
+        for row in zip(*views, strict=True):
+            r = dict(zip(names, row, strict=True))
             if r["part"] != at and rows:
                 yield at, rows
                 rows = []
@@ -329,7 +395,7 @@ def train(docs: DataFrame, parts: int | None = None, order: int = 2) -> Model:
     if order not in (2, 3):
         raise ValueError(f"the order of the language model is 2 or 3, not {order}")
     spark = workers_find_package(docs.sparkSession)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(docs)
     model = Model(f"{_mounted(shared_dir(spark))}/language-model-{uuid.uuid4().hex}", parts, order=order)
     os.makedirs(model.path, exist_ok=True)
     with shuffles_removed(spark):
@@ -343,7 +409,11 @@ def _train(text: DataFrame, model: Model) -> Model:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            first = _begins(keys)
+            keys, c = keys[first], np.diff(first, append=len(keys))
             yield from _blobs(keys[c == 1], [], parts, 1)
             yield from _blobs(keys[c > 1], [c[c > 1].astype(np.int64)], parts)
 
@@ -352,16 +422,20 @@ def _train(text: DataFrame, model: Model) -> Model:
             n += len(held[-1])
             if n >= GATHER:
                 yield from send()
-                held, n = [], 0
+                n = 0
         if held:
             yield from send()
 
     def grams_in(part: int, rows: list[dict]) -> dict:
         keys = [_unpacked(r["keys"]) for r in rows]
-        counts = np.concatenate([np.ones(len(k), np.int64) if r["v0"] is None else np.frombuffer(r["v0"], np.int64) for k, r in zip(keys, rows, strict=True)])
+        ends = np.cumsum([len(k) for k in keys]).tolist()
+        counts = np.ones(ends[-1], np.int64)
+        for r, k, end in zip(rows, keys, ends, strict=True):
+            if r["v0"] is not None:
+                counts[end - len(k) : end] = np.frombuffer(r["v0"], np.int64)
         keys = np.concatenate(keys)
         sort, first = _grouped(keys)
-        keys, counts = keys[sort][first], np.add.reduceat(counts[sort], first)
+        keys, counts = keys[sort[first]], np.add.reduceat(counts[sort], first)
         model.store("pairs" if order == 2 else "triples", part, keys, count=counts)
         return {"n": len(keys), "tokens": int(counts.sum()), "kinds": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
 
@@ -383,16 +457,19 @@ def _train(text: DataFrame, model: Model) -> Model:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, right, follow = (np.concatenate(x) for x in zip(*held, strict=True))
+            columns = _taken(held)
+            keys = next(columns)
             sort, first = _grouped(keys)
-            keys, right, follow = keys[sort], right[sort], follow[sort]
-            once = np.diff(np.concatenate([first, [len(keys)]])) == 1
-            once &= (right[first] < 256) & (follow[first] < 256)
+            keys = keys[sort[first]]
+            right, follow = (v[sort] for v in columns)
+            n = np.diff(first, append=len(sort))
+            del sort
+            once = (n == 1) & (right[first] < 256) & (follow[first] < 256)
             at = first[once]
-            yield from _blobs(keys[at], [right[at].astype(np.uint8), follow[at].astype(np.uint8)], parts, 3)
+            yield from _blobs(keys[once], [right[at].astype(np.uint8), follow[at].astype(np.uint8)], parts, 3)
             share = lambda c, d: np.where(c > 0, d / np.maximum(c, 1), 0.0)
-            sums = [np.add.reduceat(v, first)[~once] for v in (np.ones(len(keys), np.int64), share(right, 1.0), share(follow, np.array(model.triple_discounts)[np.minimum(follow, 3)]))]
-            yield from _blobs(keys[first[~once]], sums, parts)
+            sums = [n[~once], np.add.reduceat(share(right, 1.0), first)[~once], np.add.reduceat(share(follow, np.array(model.triple_discounts)[np.minimum(follow, 3)]), first)[~once]]
+            yield from _blobs(keys[~once], sums, parts)
 
         for b in kernel.slices(batches, limit=SCORE_BYTES):
             word, before, at = _sequences(b.column("text"))
@@ -411,7 +488,7 @@ def _train(text: DataFrame, model: Model) -> Model:
             n += len(keys)
             if n >= GATHER // 2:
                 yield from send()
-                held, n = [], 0
+                n = 0
         if held:
             yield from send()
 
@@ -439,13 +516,17 @@ def _train(text: DataFrame, model: Model) -> Model:
         discounts = _discounts([sum(r["kinds"][k] for r in done) for k in range(4)])
     model.pairs, model.pair_discounts = sum(r["n"] for r in done), discounts
 
+    def merged(columns: Iterator[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Distinct keys of the first column, and the sums of the others."""
+        keys = next(columns)
+        sort, first = _grouped(keys)
+        return keys[sort[first]], [np.add.reduceat(v[sort], first) for v in columns]
+
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, *columns = (np.concatenate(x) for x in zip(*held, strict=True))
-            sort, first = _grouped(keys)
-            return _blobs(keys[sort][first], [np.add.reduceat(v[sort], first) for v in columns], parts)
+            return _blobs(*merged(_taken(held)), parts)
 
         for b in kernel.slices(batches, limit=SCORE_BYTES):
             word, before, _ = _sequences(b.column("text"))
@@ -454,16 +535,15 @@ def _train(text: DataFrame, model: Model) -> Model:
             pair = _pair(before, word)
             c, value = model._lookup("pairs", pair, ("count", "left")) if order == 3 else [model.counts(pair)] * 2
             one = 1.0 / c
-            lost = np.array(model.pair_discounts)[np.minimum(value, 3)] * one
-            zero = np.zeros(len(word))
-            keys = np.concatenate([word, before])
-            sort, first = _grouped(keys)
-            columns = [np.concatenate([np.ones(len(word)), zero]), np.concatenate([one, zero]), np.concatenate([zero, value * one]), np.concatenate([zero, lost])]
-            held.append((keys[sort][first], *[np.add.reduceat(v[sort], first) for v in columns]))
-            n += len(first)
+            words, ends = merged(iter([word, np.ones(len(word)), one]))
+            contexts, begins = merged(iter([before, value * one, np.array(model.pair_discounts)[np.minimum(value, 3)] * one]))
+            none = lambda keys: [np.zeros(len(keys))] * 2
+            keys, values = merged(map(np.concatenate, zip([words, *ends, *none(words)], [contexts, *none(contexts), *begins], strict=True)))
+            held.append((keys, *values))
+            n += len(keys)
             if n >= GATHER // 2:
                 yield from send()
-                held, n = [], 0
+                n = 0
         if held:
             yield from send()
 

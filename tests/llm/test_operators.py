@@ -322,6 +322,32 @@ def test_language_model_of_order_3(spark):
     assert (empty["n_known"], empty["score"]) == (0, 0.0) and language_model.ORDER == 3
 
 
+def test_parts_of_the_language_model_follow_the_text(spark, monkeypatch):
+    docs = frame(spark, *[(i, prose(i, 60), None) for i in range(60)])
+    scores = lambda model: {r["doc_id"]: round(r["score"], 6) for r in language_model.score(docs, model).collect()}
+    few = language_model.train(docs, order=3)
+    monkeypatch.setattr(language_model, "PART_BYTES", 1000, raising=False)
+    many = language_model.train(docs, order=3)
+    assert few.parts == 4 and many.parts > 12
+    assert scores(few) == scores(many)
+
+
+def test_pages_of_model_files_leave_the_memory_of_workers(tmp_path, monkeypatch):
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**64, 400_000, dtype=np.uint64) & language_model._LEADING)
+    model = language_model.Model(str(tmp_path), 4)
+    cuts = language_model._cuts(keys, 4)
+    for p in range(4):
+        own = slice(cuts[p], cuts[p + 1])
+        model.store("triples", p, keys[own], count=np.arange(len(keys))[own])
+    model.order, model.written["triples"] = 3, [0, 1, 2, 3]
+    monkeypatch.setattr(language_model, "READ_BYTES", 0, raising=False)
+    assert (model.counts(keys) == np.arange(len(keys))).all()
+    with open("/proc/self/smaps") as f:
+        entries = re.split(r"(?m)^(?=[0-9a-f]+-[0-9a-f]+ )", f.read())
+    resident = [int(re.search(r"Rss:\s+(\d+)", x)[1]) for x in entries if str(tmp_path) in x]
+    assert resident and sum(resident) == 0
+
+
 def test_packed_hashes():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
     assert (language_model._unpacked(language_model._packed(keys)) == keys).all()
