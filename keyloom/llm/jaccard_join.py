@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import kernel
 from keyloom.llm.common import shared_dir, shuffles_removed, stored, table, workers_find_package
 from keyloom.llm.kernel import U64
-from keyloom.llm.language_model import _LEADING, _blobs, _by_part, _cuts, _grouped, _mapped, _mounted, _save, _unpacked, parts_for
+from keyloom.llm.language_model import _LEADING, _blobs, _by_part, _cuts, _done_with, _grouped, _mapped, _mapping, _mounted, _save, _unpacked, parts_for
 
 WIDTH, PERCENT = 5, 80
 FREQUENT, LEAF = 8, 64
@@ -241,7 +241,10 @@ class _Files:
             hit = np.flatnonzero(keys[at] == q)
             there[order[cuts[p] + hit]] = True
             if column:
-                value[order[cuts[p] + hit]] = _mapped(f"{self.path}-{p:06d}.{column}.npy")[at[hit]]
+                beside = _mapped(f"{self.path}-{p:06d}.{column}.npy")
+                value[order[cuts[p] + hit]] = beside[at[hit]]
+                _done_with(_mapping(beside))
+            _done_with(_mapping(keys))
         return there, value
 
 

@@ -16,8 +16,9 @@ their leading bits, and values only for n-grams that are not ``plain``: seen onc
 one word once. Shuffle files go when their pass ends.
 
 Hash parts balance whatever the words are, and their number follows the text, so that a task sorts about as much whatever the table. A
-worker gives up the pages of mapped files after every ``READ_BYTES`` of them. Files are written under a temporary name and renamed, so a task may run again; a file that
-was written and is gone is an error. Memory mapping needs the shared folder as a mounted path; another kind of store is refused.
+worker gives up the pages of mapped files after every ``READ_BYTES`` of them. Files are written under a temporary name and renamed, so a
+task may run again; a file that was written and is gone is an error. Memory mapping needs the shared folder as a mounted path; another
+kind of store is refused.
 
 Scores are log10. A text is its words and one end token; the first word's context is a start token.
 
@@ -177,6 +178,13 @@ def _mapped(path: str) -> np.ndarray:
     return np.asarray(np.load(path, mmap_mode="r"))
 
 
+def _mapping(a: np.ndarray) -> mmap.mmap:
+    """The file behind an array of ``_mapped``."""
+    while not isinstance(a, mmap.mmap):
+        a = a.base
+    return a
+
+
 _read: set[mmap.mmap] = set()
 
 

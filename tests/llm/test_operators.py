@@ -468,6 +468,17 @@ def test_lost_hash_files_are_an_error(spark):
         files.find(probe)
 
 
+def test_pages_of_hash_files_leave_the_memory_of_workers(spark, monkeypatch):
+    files = jaccard_join._files(spark.range(200_000).select(F.col("id").alias("doc_id"), (F.col("id") * 3).alias("v")), 4, "test-pages", ("v",))
+    monkeypatch.setattr(language_model, "READ_BYTES", 0, raising=False)
+    there, value = files.find(jaccard_join._id_hash(np.arange(300_000)), "v")
+    assert there.sum() == 200_000 and (value[:200_000] == 3 * np.arange(200_000)).all()
+    with open("/proc/self/smaps") as f:
+        entries = re.split(r"(?m)^(?=[0-9a-f]+-[0-9a-f]+ )", f.read())
+    resident = [int(re.search(r"Rss:\s+(\d+)", x)[1]) for x in entries if files.path in x]
+    assert resident and sum(resident) == 0
+
+
 def test_linked_pairs_are_whole():
     own = [np.unique(np.random.default_rng(s % 60).integers(0, 2**64, 300, dtype=np.uint64)[: 200 + s // 2]) for s in range(180)]
     both = lambda a, b: len(np.intersect1d(own[a], own[b]))
